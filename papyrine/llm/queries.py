@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import leaks, terms
+from papyrine.llm import leaks, residue, terms
 from papyrine.session import fan_out, table
 
 
@@ -29,5 +29,18 @@ def p6_item_leaks(spark: SparkSession, d: str) -> DataFrame:
     return items.select("item_id", "suite").join(found, "item_id", "left").fillna({"n_docs": 0, "most": 0.0})
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", "event_id")
+    return residue.residue_documents(docs, table(spark, d, "papers")).select("doc_id")
+
+
+def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Per source as typed, how many documents hold residue."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", "event_id")
+    found = residue.residue_documents(docs, table(spark, d, "papers"))
+    joined = docs.select("doc_id", "source").distinct().join(found, "doc_id", "left")
+    return joined.groupBy("source").agg(F.count("*").alias("n_docs"), F.count("evidence").alias("n_residue"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
