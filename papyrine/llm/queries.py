@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import leaks, residue, terms
+from papyrine.llm import leaks, mixing, residue, terms
 from papyrine.session import fan_out, table
 
 
@@ -29,6 +29,18 @@ def p6_item_leaks(spark: SparkSession, d: str) -> DataFrame:
     return items.select("item_id", "suite").join(found, "item_id", "left").fillna({"n_docs": 0, "most": 0.0})
 
 
+def p7_copies(spark: SparkSession, d: str) -> DataFrame:
+    """How often every document of a named source is taken."""
+    sizes = mixing.token_sizes(table(spark, d, "documents").select("doc_id", "text", "source"))
+    return mixing.mix(sizes, table(spark, d, "mix_targets"))[0].withColumnRenamed("doc", "doc_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source, and the sources that fall short."""
+    sizes = mixing.token_sizes(table(spark, d, "documents").select("doc_id", "text", "source"))
+    return mixing.mix(sizes, table(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "source", "event_id")
     return residue.residue_documents(docs, table(spark, d, "papers")).select("doc_id")
