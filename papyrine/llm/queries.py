@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import leaks, mixing, residue, terms
+from papyrine.llm import leaks, mixing, residue, survivor, terms
 from papyrine.session import fan_out, table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.survivors(table(spark, d, "papers")).select("group_id", "field", "event_id")
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry with its group and the size of the group."""
+    keep = ["event_id", "venue", "year", "title", "authors", "duplicate_event_ids", "ingested_at", "abstract", "decision", "openreview_id", "presentation", "topic_raw"]
+    groups = survivor.entry_groups(survivor.latest_deliveries(table(spark, d, "papers").select(*keep)))
+    sizes = groups.groupBy("group_id").agg(F.count("*").alias("n_entries"))
+    return groups.join(sizes, "group_id").select("event_id", "group_id", "n_entries")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(table(spark, d, "papers")).where("mark <> 'useful'").select("term", "mark")
 
