@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import leaks, mixing, residue, survivor, terms
+from papyrine.llm import canon, leaks, mixing, residue, survivor, terms
 from papyrine.session import fan_out, table
 
 
@@ -29,6 +29,18 @@ def p3_term_counts(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(table(spark, d, "papers")).select("term", "occurrences", "records", "mark")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    facts = table(spark, d, "facts_abstract").select("event_id", "facts", "extracted_at")
+    return canon.mapped_names(facts, table(spark, d, "term_reference")).select("event_id", "field", "pos", "ref_id")
+
+
+def p4_value_map(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct free name with its item, how it was found, and how often it is used."""
+    names = canon.free_names(table(spark, d, "facts_abstract").select("event_id", "facts", "extracted_at"))
+    used = names.groupBy("kind", "name").agg(F.count("*").alias("n_uses"))
+    return canon.map_values(names, table(spark, d, "term_reference")).join(used, ["kind", "name"])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return leaks.leaked_items(docs, table(spark, d, "eval_items")).select("doc_id", "item_id")
