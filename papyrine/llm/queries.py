@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import canon, leaks, mixing, residue, survivor, terms
+from papyrine.llm import canon, leaks, mixing, residue, spellings, survivor, terms
 from papyrine.session import fan_out, table
 
 
+def _organisations(spark: SparkSession, d: str) -> DataFrame:
+    names = spellings.affiliations(table(spark, d, "papers").select("author_institutions"))
+    return spellings.organisations(names, table(spark, d, "institution_aliases"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return spellings.spelling_pairs(_organisations(spark, d))
+
+
+def p1_organisations(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with the smallest spelling of its organisation and their number."""
+    orgs = _organisations(spark, d)
+    size = orgs.groupBy("org").agg(F.min("name").alias("organisation"), F.count("*").alias("n_spellings"))
+    return orgs.join(size, "org").select("name", "organisation", "n_spellings")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "papers")).select("group_id", "field", "event_id")
 
