@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import canon, leaks, mixing, residue, spellings, survivor, terms
+from papyrine.llm import canon, entity, leaks, mixing, residue, spellings, survivor, terms
 from papyrine.session import fan_out, table
 
 
@@ -57,6 +57,22 @@ def p4_value_map(spark: SparkSession, d: str) -> DataFrame:
     return canon.map_values(names, table(spark, d, "term_reference")).join(used, ["kind", "name"])
 
 
+def _preprints(spark: SparkSession, d: str) -> DataFrame:
+    papers = table(spark, d, "papers").select("event_id", "title", "authors", "year")
+    return entity.preprints(papers, table(spark, d, "arxiv_index"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _preprints(spark, d).select("event_id", "arxiv_base")
+
+
+def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Every match with its confidence, beside what an earlier run had resolved."""
+    earlier = table(spark, d, "resolved").where("arxiv_base is not null").groupBy("event_id").agg(F.min("arxiv_base").alias("earlier"))
+    found = _preprints(spark, d).join(earlier, "event_id", "left")
+    return found.select("event_id", "arxiv_base", "confidence", F.when(F.col("earlier").isNull(), "new").when(F.col("earlier") == F.col("arxiv_base"), "same").otherwise("other").alias("beside_earlier"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return leaks.leaked_items(docs, table(spark, d, "eval_items")).select("doc_id", "item_id")
