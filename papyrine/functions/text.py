@@ -139,9 +139,14 @@ def bigrams(tokens: Column) -> Column:
 def index_terms(c: Column, stop: Sequence[str] = SEARCH_STOP) -> Column:
     """Distinct unigrams, and bigrams formed before stop words are removed."""
     w = words(c)
-    listed = F.lit(list(stop))
-    keep = F.filter(w, lambda t: ~F.array_contains(listed, t))
-    pairs = F.filter(bigrams(w), lambda p: ~F.arrays_overlap(F.split(p, " "), listed))
+    n = F.size(w)
+    keep = F.filter(w, lambda t: ~t.isin(*stop))
+
+    def pair(i: Column) -> Column:
+        a, b = F.element_at(w, i), F.element_at(w, i + 1)
+        return F.when(~a.isin(*stop) & ~b.isin(*stop), F.concat_ws(" ", a, b))
+
+    pairs = F.when(n > 1, F.filter(F.transform(F.sequence(F.lit(1), n - 1), pair), lambda p: p.isNotNull())).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(keep, pairs))
 
 
