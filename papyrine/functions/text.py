@@ -132,22 +132,20 @@ def words(c: Column) -> Column:
 
 def bigrams(tokens: Column) -> Column:
     """Neighbouring pairs, joined by a blank."""
-    n = F.size(tokens)
-    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.element_at(tokens, i), F.element_at(tokens, i + 1)))).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.zip_with(tokens, _shifted(tokens), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))), lambda p: p.isNotNull())
 
 
-def index_terms(c: Column, stop: Sequence[str] = SEARCH_STOP) -> Column:
-    """Distinct unigrams, and bigrams formed before stop words are removed."""
-    w = words(c)
-    n = F.size(w)
-    keep = F.filter(w, lambda t: ~t.isin(*stop))
+def _shifted(tokens: Column) -> Column:
+    """The array without its first element; zipped with the array it gives neighbours without an index."""
+    return F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
 
-    def pair(i: Column) -> Column:
-        a, b = F.element_at(w, i), F.element_at(w, i + 1)
-        return F.when(~a.isin(*stop) & ~b.isin(*stop), F.concat_ws(" ", a, b))
 
-    pairs = F.when(n > 1, F.filter(F.transform(F.sequence(F.lit(1), n - 1), pair), lambda p: p.isNotNull())).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(keep, pairs))
+def index_terms(c: Column, stop: Sequence[str] = SEARCH_STOP) -> Column:
+    """Distinct unigrams, and bigrams formed before stop words are removed."""
+    w = F.transform(words(c), lambda t: F.struct(t.alias("t"), t.isin(*stop).alias("stop")))
+    keep = F.transform(F.filter(w, lambda x: ~x["stop"]), lambda x: x["t"])
+    pairs = F.zip_with(w, _shifted(w), lambda a, b: F.when(~a["stop"] & ~b["stop"], F.concat_ws(" ", a["t"], b["t"])))
+    return F.array_distinct(F.concat(keep, F.filter(pairs, lambda p: p.isNotNull())))
 
 
 def classify(c: Column, rules: Sequence[tuple[str, str]], other: str) -> Column:
