@@ -121,17 +121,21 @@ def pool_of(value) -> list[float]:
     return out
 
 
-@F.pandas_udf("array<double>")
-def figure_pool(trees: pd.Series) -> pd.Series:
+def _pool(tree: str | None) -> list[float]:
+    try:
+        return pool_of(json.loads(tree)) if tree else []
+    except ValueError:
+        return []
+
+
+def figure_pool(trees: Column | str) -> Column:
     """:func:`pool_of` of JSON strings; what is no JSON has no figures."""
 
-    def one(s):
-        try:
-            return pool_of(json.loads(s)) if s else []
-        except ValueError:
-            return []
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(_pool)
 
-    return trees.map(one)
+    return run(trees)
 
 
 def check_figures(rows: DataFrame, text: str, pool: str) -> DataFrame:
