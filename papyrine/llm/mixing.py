@@ -180,6 +180,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
         F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)).alias("target_share"),
         F.coalesce(F.col("max_repeats").cast("double"), F.lit(1.0)).alias("max_repeats"),
     ).where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    sizes = sizes.select("doc", _slug(F.col("source")).alias("source"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")).where("doc is not null")
     sizes = cut(sizes.join(named.select("source"), "source", "left_semi").select("doc", "source", "tokens"))
     held = sizes.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
     budget = held.agg(F.coalesce(F.sum("available_tokens"), F.lit(0)).cast("double").alias("budget")) if total_tokens is None else None
