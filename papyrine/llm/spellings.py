@@ -359,8 +359,8 @@ def organisations(names: DataFrame, aliases: DataFrame | None = None) -> DataFra
         target = p.select(F.col("name").alias("canonical"), "node").join(roots.select("node", "root"), "node").select("canonical", "root")
         listed = known.where(F.col("alias").rlike("^[a-z]{2,6}$")).join(target, "canonical").select(F.col("alias").alias("acronym"), "root").distinct().withColumn("step", F.lit(2))
         told = told.union(listed)
-    heads = Window.partitionBy("root").orderBy(F.col("spellings").desc(), "node")
-    leaders = roots.withColumn("n", F.row_number().over(heads)).where("n = 1").select("node", "kind", "tokens")
+    most = roots.groupBy("root").agg(F.max("spellings").alias("most"))
+    leaders = roots.join(most, "root").where("2 * spellings >= most").select("node", "kind", "tokens")
     guessed = leaders.mapInArrow(_initials_udf, "node long, acronym string").join(roots.select("node", "root"), "node").select("acronym", "root").distinct().withColumn("step", F.lit(3))
     told = told.union(guessed).groupBy("acronym", "step").agg(F.min("root").alias("root"), F.count_distinct("root").alias("n"))
     first = told.groupBy("acronym").agg(F.min_by(F.struct("root", "n"), "step").alias("m")).where("m.n = 1").select("acronym", F.col("m.root").alias("org"))
