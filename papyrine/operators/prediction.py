@@ -60,6 +60,6 @@ def evaluate(ranked: DataFrame, score: str, hit: str, *ties: str, at: tuple[int,
     r = ranked.withColumn("_r", F.row_number().over(w)).withColumn("_h", F.sum(F.col(hit).cast("long")).over(upto))
     return r.agg(
         F.count("*").alias("candidates"), F.sum(F.col(hit).cast("long")).alias("hits"), F.avg(F.col(hit).cast("double")).alias("base_rate"),
-        *[(F.sum(F.when((F.col("_r") <= k) & F.col(hit), 1).otherwise(0)) / k).alias(f"p_{k}") for k in at],
+        *[(F.count(F.when((F.col("_r") <= k) & F.col(hit), 1)) / k).alias(f"p_{k}") for k in at],
         F.try_divide(F.sum(F.when(F.col(hit), F.col("_h") / F.col("_r"))), F.sum(F.col(hit).cast("long"))).alias("average_precision"),
     )
