@@ -51,7 +51,7 @@ _START = [
     r"file \"[^\"]+\", line \d+",
     r"(?:[a-z_.]*\.)?[A-Za-z]*(?:error|exception)(?::\s|$)",
     r"at [\w$.]+\([\w.]+:\d+\)",
-    r"(?:sorry,?\s*)?(?:but )?(?:this|the|that) (?:\w+ ){0,3}" + _PAGE + r" (?:you (?:requested|asked for|are looking for|were looking for) )?(?:does not|doesn't|no longer|could not be|cannot be|can't be|was not|is not|has been removed|was removed|is gone)",
+    r"(?:sorry,?\s*)?(?:but )?(?:this|the|that) (?:\w+ ){0,3}" + _PAGE + r" (?:you (?:requested|asked for|are looking for|were looking for) )?(?:does not|doesn't|no longer|could not be|cannot be|can't be|was not|is not|is gone|(?:has been|was|is) (?:re)?(?:moved|deleted|archived|withdrawn|taken down|blocked|unavailable))",
     r"nothing (?:here|was found|to see)\b",
     r"we (?:could not|couldn't|can't|cannot) find (?:the|this|that) " + _PAGE,
     r"(?:try again|please try again|come back) (?:later|soon|in )",
@@ -63,6 +63,14 @@ _START = [
     r"página no encontrada",
     r"(?:el|la) (?:artículo|página) (?:pedid|solicitad|buscad)[oa] ",
     r"l'article (?:demandé|recherché) ",
+    r"(?:esta|la|el|este) (?:página|artículo|documento|sitio|servicio|contenido) (?:no (?:existe|está|se encuentra|se ha)|ya no|ha sido|está (?:oculto|bloqueado|temporalmente|en|fuera))",
+    r"(?:cette|la|le|ce|l') ?(?:page|article|document|site|service|contenu|serveur) (?:n'existe|n'est (?:pas|plus)|est (?:masqué|bloqué|(?:momentanément |temporairement |actuellement )?(?:indisponible|introuvable|inaccessible|en maintenance))|a été|demandée? (?:n'|est))",
+    r"(?:diese|die|der|das|dieser|dieses) (?:seite|beitrag|artikel|dokument|dienst|server|inhalt|website) (?:existiert nicht|gibt es nicht|wurde (?:nicht|entfernt|gelöscht|verschoben)|ist (?:ausgeblendet|gesperrt|(?:zurzeit |derzeit |momentan |vorübergehend )?nicht (?:erreichbar|verfügbar|mehr)))",
+    r"(?:error interno|erreur interne|interner fehler|error inesperado|erreur inattendue|unerwarteter fehler)\b",
+    r"(?:algo salió mal|une erreur (?:est survenue|s'est produite)|ein fehler ist aufgetreten|se ha producido un error|etwas ist schiefgelaufen)",
+    r"(?:inténtelo|inténtalo|vuelva a intentarlo|intente) (?:de nuevo|más tarde|nuevamente)",
+    r"(?:veuillez )?réessaye[rz] (?:plus tard|dans|ultérieurement)",
+    r"(?:bitte )?versuchen sie es (?:später|in|noch|erneut)",
     r"text extraction failed",
     r"no text layer",
     r"the file is (?:encrypted|damaged|corrupt|empty|password)",
@@ -74,7 +82,9 @@ _START = [
     r"(?:down|closed) for maintenance",
     r"(?:wartungsarbeiten|wegen wartung)\b",
     r"(?:sitio|servicio|página|servidor) (?:en mantenimiento|no disponible)",
-    r"(?:site|service|page|serveur) (?:en maintenance|indisponible)",
+    r"(?:site|service|page|serveur) (?:en maintenance|indisponible|temporairement)",
+    r"(?:mantenimiento|maintenance|wartung) (?:programado|programada|prévue|planifiée|en curso|en cours|geplant)",
+    r"(?:este dominio|ce (?:nom de )?domaine|diese domain)\b",
     r"this domain (?:name )?(?:is|has|may be) ",
     r"the (?:conference|web) ?site has moved",
     # access, sessions, robots
@@ -89,6 +99,22 @@ _START = [
     r"(?:su|tu) sesión (?:ha |está )?(?:expirad|caducad|terminad)",
     r"(?:ihre|deine) (?:sitzung|anmeldung) (?:ist|wurde|hat)",
     r"(?:access|acces)(?: to (?:this|the) [\w ]+)? (?:is |was |has been )?(?:denied|restricted|blocked|forbidden)\b(?!\s+(?:another|for|in|by \d|and))",
+    r"(?:la|esta) sesión (?:ha |está |se ha )?(?:expirad|caducad|terminad|cerrad)",
+    r"(?:la|cette) session (?:a |est )?(?:expiré|terminé|fermé)",
+    r"(?:die|diese) (?:sitzung|anmeldung) (?:ist|wurde) (?:abgelaufen|beendet|erforderlich)",
+    r"sie (?:wurden|sind) (?:abgemeldet|nicht angemeldet)",
+    r"sie (?:müssen|haben) (?:sich (?:erneut )?(?:anmelden|registrieren)|keine? (?:berechtigung|zugriff|rechte))",
+    r"(?:vous avez été|vous êtes) (?:déconnecté|redirigé)",
+    r"vous (?:devez vous (?:connecter|identifier|inscrire)|n'avez pas (?:accès|l'autorisation|le droit|la permission))",
+    r"(?:se ha|ha sido|usted ha) (?:cerrado (?:su|la) sesión|desconectado)",
+    r"(?:debe|tiene que|necesita) (?:iniciar sesión|registrarse|identificarse)",
+    r"(?:usted )?no tiene (?:permiso|acceso|autorización)",
+    r"(?:melden sie sich|bitte melden sie sich|bitte anmelden)\b",
+    r"(?:connectez-vous|identifiez-vous|inscrivez-vous)\b",
+    r"(?:inicie|inicia) sesión\b",
+    r"(?:zu viele anfragen|trop de requêtes|demasiadas (?:solicitudes|peticiones))",
+    r"(?:anfrage|requête|solicitud) (?:blockiert|bloquée|bloqueada|gesperrt)",
+    r"(?:wir prüfen|nous vérifions|estamos (?:verificando|comprobando))\b",
     r"(?:zugriff|zugang) (?:verweigert|gesperrt)",
     r"acc[eè]s (?:refusé|interdit|limité)",
     r"acceso (?:denegado|restringido|prohibido)",
@@ -107,7 +133,10 @@ _START = [
     r"" + _SCRIPT + r" (?:is|are|must be|has to be|have to be|needs to be) (?:switched off|turned off|off|disabled|required|blocked|needed|enabled)",
     r"if nothing appears\b",
     r"(?:your browser|you) (?:blocks|does not support|has disabled)\b",
-    r"veuillez (?:autoriser|activer)\b",
+    r"veuillez (?:autoriser|activer|patienter|accepter)\b",
+    r"(?:autorisez|activez) (?:java ?script|les scripts)",
+    r"(?:java ?script|les scripts|los scripts|skripte) (?:est|sont|ist|sind|está|están) (?:désactivé|requis|nécessaire|deaktiviert|ausgeschaltet|erforderlich|desactivad|necesari)",
+    r"(?:bitte warten|por favor,? espere|un moment)\b",
     r"(?:bitte )?(?:aktivieren|erlauben|schalten) sie (?:bitte )?(?:java ?script|skripte)",
     r"bitte (?:java ?script|skripte)",
     r"(?:por favor,? )?(?:active|activa|habilite|habilita|permita|permite|autorice) (?:el )?(?:uso de )?(?:java ?script|los scripts|scripts)",
@@ -218,10 +247,13 @@ def is_residue(line: str) -> bool:
 # Words of web pages and forms, in the four languages of the corpus (fixed values).
 _WEB = frozenset(
     "page pages site website browser login signin session account password cookies cookie javascript script scripts loading download "
-    "link url unavailable offline maintenance subscribe captcha verify redirect timeout here navigateur connexion compte chargement lien "
-    "indisponible ici seite anmelden konto laden gesperrt wartung hier sitio navegador sesión cuenta cargando enlace página "
-    "mantenimiento aquí".split()
+    "link url unavailable offline maintenance subscribe captcha verify redirect timeout here service moved expired blocked denied "
+    "navigateur connexion compte chargement lien indisponible ici session expiré bloqué serveur momentanément déconnecté "
+    "seite anmelden abgemeldet konto laden gesperrt wartung hier sitzung abgelaufen dienst erreichbar anfrage "
+    "sitio navegador sesión cuenta cargando enlace página mantenimiento aquí servicio caducado caducada expirado bloqueado".split()
 )
+# Of these, words that settle a line of up to four words alone (fixed values).
+_WEB_SURE = frozenset("login signin captcha javascript cookies abgemeldet anmelden sitzung sesión caducado indisponible déconnecté wartung mantenimiento".split())
 #: Web words that a candidate line must have.
 WEB_WORDS = 2
 _CODE = re.compile(r"\b(?=\w*\d)\w+\b")
@@ -231,7 +263,9 @@ _MENU = re.compile(r"[|›»/].*[|›»/]|^\s*(?:back to top|previous|next|home|
 def _candidate(line: str) -> str | None:
     """The skeleton of a short line that speaks of web pages, else None."""
     words = _WORD.findall(line.lower())
-    if not 3 <= len(words) <= LINE_WORDS or sum(w in _WEB for w in words) < WEB_WORDS or _MENU.search(line):
+    if not 3 <= len(words) <= LINE_WORDS or _MENU.search(line):
+        return None
+    if sum(w in _WEB for w in words) < WEB_WORDS and not (len(words) <= 4 and any(w in _WEB_SURE for w in words)):
         return None
     return " ".join(_WORD.findall(_CODE.sub(" ", line.lower())))
 

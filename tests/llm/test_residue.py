@@ -32,6 +32,13 @@ TBD TBD TBD
 asdf asdf asdf
 Your abstract goes here.
 Texte à remplacer.
+La sesión ha caducado.
+Le service est momentanément indisponible, code 496.
+Sie wurden abgemeldet.
+Sorry, this page has been moved.
+Cette page n'existe pas.
+Diese Seite existiert nicht.
+Demasiadas solicitudes desde su red.
 TODO: write the abstract before the deadline!
 Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor.
 Loading… Loading…
