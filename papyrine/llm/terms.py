@@ -4,11 +4,11 @@ Method: last-seen counters.  Tokens are streamed ordered by record, and each ter
 three numbers only: occurrences, records and the identifier of the last record it was seen
 in.  A record is counted when the identifier changes, so no set of records is ever kept.
 
-Records are hash-partitioned by their identifier and sorted inside the partition, so one
-record lies in one partition and its rows are adjacent.  The counters of a partition are
-partial aggregates: they are hash-partitioned by term and summed.  What is shuffled is one
-row per term and partition, never one row per token, so neither a term that fills a third
-of all text nor a record delivered many times makes a hot task.
+Texts are partitioned by ranges of (record, digest of the text) and sorted, so the rows of a
+record are adjacent.  A record whose rows cross the edge of a partition (one delivered with a
+third of all texts may fill many) is handed on by name, and its terms are counted once over all
+partitions.  The counters are partial aggregates, hash-partitioned by term and summed: what is
+shuffled is one row per term and partition, never one row per token.
 """
 
 from __future__ import annotations
@@ -39,37 +39,64 @@ def terms_of(text: str) -> list[str]:
     return _LETTERS.findall(unicodedata.normalize("NFKC", text).lower())
 
 
+_PARTIAL = ["term", "occurrences", "records", "edge"]
+
+
 def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counters of one partition: (term, occurrences, records, edge).
+
+    Terms of the first and of the last record come on rows of their own with the record as ``edge``
+    and no count of records, since those two may go on in another partition.
+    """
     seen: dict[str, list] = {}
+    edge: dict[str, int] = {}  # terms of the first record, later of the record at hand
     previous: object = None
+    by_name = True  # whether the record at hand goes on rows of its own
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(seen), pa.string()),
-                pa.array([c[0] for c in seen.values()], pa.int64()),
-                pa.array([c[1] for c in seen.values()], pa.int64()),
-            ],
-            names=["term", "occurrences", "records"],
+    def rows(terms, occurrences, records, name) -> pa.RecordBatch:
+        n = len(terms)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(terms, pa.string()), pa.array(occurrences, pa.int64()), pa.array(records, pa.int64()), pa.array([None if name is None else str(name)] * n, pa.string())], names=_PARTIAL
         )
+
+    def flush() -> pa.RecordBatch:
+        out = rows(list(seen), [c[0] for c in seen.values()], [c[1] for c in seen.values()], None)
         seen.clear()
         return out
 
+    def settle() -> None:
+        """The record at hand is over: its terms go to the counters."""
+        for term, n in edge.items():
+            c = seen.get(term)
+            if c is None:
+                seen[term] = [n, 1, previous]
+            else:
+                c[0] += n
+                if c[2] != previous:
+                    c[1] += 1
+                    c[2] = previous
+
     for batch in batches:
         for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if record != previous:
-                if len(seen) >= FLUSH_TERMS:  # between records only, so none is counted twice
-                    yield flush()
+                if previous is not None:
+                    if by_name:
+                        yield rows(list(edge), list(edge.values()), [0] * len(edge), previous)
+                        by_name = False
+                    else:
+                        settle()
+                    if len(seen) >= FLUSH_TERMS:  # between records only, so none is counted twice
+                        yield flush()
+                edge.clear()
                 previous = record
             for term in terms_of(text):
-                c = seen.get(term)
-                if c is None:
-                    seen[term] = [1, 1, record]
-                else:
-                    c[0] += 1
-                    if c[2] != record:
-                        c[1] += 1
-                        c[2] = record
+                edge[term] = edge.get(term, 0) + 1
+            if len(edge) >= FLUSH_TERMS:  # a record of very many terms; all it has goes by name
+                by_name = True
+                yield rows(list(edge), list(edge.values()), [0] * len(edge), previous)
+                edge.clear()
+    if edge:
+        yield rows(list(edge), list(edge.values()), [0] * len(edge), previous)
     if seen:
         yield flush()
 
@@ -94,9 +121,13 @@ def term_frequencies(
     texts = rows.select(F.col(record).alias("record"), F.col(text).alias("text")).where("record is not null and text is not null")
     # the digest stands in for the text, so distinct does not carry texts twice
     once = texts.groupBy("record", F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"))
-    ordered = once.repartition("record").sortWithinPartitions("record", "digest").select("record", "text")
-    partial = ordered.mapInArrow(_counters, "term string, occurrences long, records long")
-    counts = partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = once.repartitionByRange(n, "record", "digest").sortWithinPartitions("record", "digest").select("record", "text")
+    partial = ordered.mapInArrow(_counters, "term string, occurrences long, records long, edge string")
+    # a record at an edge counts once per term, whatever number of partitions it crosses
+    merged = partial.groupBy("term", "edge").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    merged = merged.withColumn("records", F.when(F.col("edge").isNull(), F.col("records")).otherwise(1))
+    counts = merged.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     total = texts.agg(F.countDistinct("record").alias("n_records"))  # one row
     mark = (
         F.when(F.col("records") <= rare_records, "rare")

@@ -37,17 +37,35 @@ def test_hot_record_and_long_text(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_flush_between_records(spark, monkeypatch):
-    monkeypatch.setattr(terms, "FLUSH_TERMS", 3)
-    batch = [(i, f"t{chr(97 + i)} shared tail again shared") for i in range(20)]
+def test_flush_and_edges(monkeypatch):
+    """Counters that are handed over early, and records cut by partition edges, add up."""
     import pyarrow as pa
 
-    out = Counter()
-    for b in terms._counters(iter([pa.RecordBatch.from_arrays([pa.array([r for r, _ in batch]), pa.array([t for _, t in batch])], names=["a", "b"])])):
-        for t, o, r in zip(*[c.to_pylist() for c in b.columns]):
-            out[t, "o"] += o
-            out[t, "r"] += r
-    assert out["shared", "o"] == 40 and out["shared", "r"] == 20
+    monkeypatch.setattr(terms, "FLUSH_TERMS", 3)
+    rows = [(i // 3, f"t{chr(97 + i % 7)} shared tail again shared") for i in range(40)]
+    for cuts in ((), (1,), (2, 3, 20), (4, 5, 6, 7, 39)):
+        parts = [rows[a:b] for a, b in zip((0, *cuts), (*cuts, len(rows)))]
+        occ, recs, edges = Counter(), Counter(), set()
+        for part in parts:
+            batches = [pa.RecordBatch.from_arrays([pa.array([r for r, _ in part[i : i + 4]]), pa.array([t for _, t in part[i : i + 4]])], names=["a", "b"]) for i in range(0, len(part), 4)]
+            for b in terms._counters(iter(batches)):
+                for t, o, r, e in zip(*[c.to_pylist() for c in b.columns]):
+                    occ[t] += o
+                    recs[t] += r
+                    if e is not None:
+                        edges.add((t, e))
+        for t, _ in edges:
+            recs[t] += 1
+        want = defaultdict(set)
+        for r, t in rows:
+            for w in t.split():
+                want[w].add(r)
+        assert {t: n for t, n in recs.items() if n} == {t: len(x) for t, x in want.items()} and occ["shared"] == 80
+
+
+def test_one_record_over_many_partitions(spark):
+    rows = [(7, f"hot text number {chr(97 + i % 26)}{chr(97 + i // 26)} again") for i in range(600)] + [(i, "cold text") for i in range(20, 40)]
+    assert run(spark, rows) == brute(rows)
 
 
 def test_empty_and_clashing_columns(spark):
