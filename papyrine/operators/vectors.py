@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.session import bounded_rows
+
+#: Most groups whose centroids are sent to every task.
+MOST_GROUPS = 10_000
 #: Rows of a block of vectors that are multiplied at once.
 BLOCK = 1024
 
@@ -81,7 +85,9 @@ def expand_topics(vectors: DataFrame, members: DataFrame, key: str, group: str,
     own = m.join(c, group).select(group, dot(F.col(vec), F.col("centroid")).alias("s")).groupBy(group).agg(F.percentile("s", quantile).alias("p"))
     bar = own.join(size, group).select(group, F.greatest(F.col("p"), F.lit(floor)).alias("bar"), F.least(F.lit(most), F.col("n")).alias("cap"))
     goal = c.join(bar, group)
-    # one centroid per group against all vectors: the groups are few, the vectors stay where they are
+    # one centroid per group against all vectors: where the groups are few, as they are meant to be, the vectors stay where they are
+    if bounded_rows(goal.select(group), MOST_GROUPS) is not None:
+        goal = F.broadcast(goal)
     s = vectors.crossJoin(goal).select(group, key, dot(F.col(vec), F.col("centroid")).alias("sim"), "bar", "cap").where(F.col("sim") >= F.col("bar"))
     s = s.join(members.select(group, key), [group, key], "left_anti")
     w = Window.partitionBy(group).orderBy(F.col("sim").desc(), key)
