@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.session import fan_out
+
 #: Names of the canonical list that go to a task at once.
 SHARD = 200_000
 #: Shortest word in which one edit is forgiven.
@@ -276,7 +278,8 @@ def map_values(values: DataFrame, reference: DataFrame, shard: int = SHARD) -> D
                     got.append(item_of(machines[k], n))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())], names=["kind", "name", "ref_id", "how"])
 
-        parts.append(distinct.mapInArrow(run, schema))
+        # names are few bytes but costly to read, so they are spread by cores
+        parts.append(fan_out(distinct).mapInArrow(run, schema))
     if not parts:
         return distinct.select("kind", "name", F.lit(0).cast("long").alias("ref_id"), F.lit("none").alias("how"))
     if len(parts) == 1:
