@@ -10,9 +10,9 @@ detectors.
    such notices are left alone.  A detected sentence settles its document.
 2. *Evidence* covers wording that no detector knows.  A line that only names things of a web
    page or a form is a candidate.  Its skeleton, the line without numbers and reference
-   codes, is counted over all documents: a skeleton that comes with several unrelated papers,
-   on several hosts or as most of what a host returns for it, and that shares no term with
-   the title or the address slug of any of those papers, is a response.
+   codes, is counted over all documents: a skeleton that comes with several unrelated papers on
+   several hosts, or with twice as many on one host, and that shares no term with the title or
+   the address slug of those papers, is a response.
 
 Step 1 is one pass without shuffle.  Step 2 shuffles candidate lines only, pre-aggregated by
 skeleton; the skeletons that remain are joined back.
@@ -323,10 +323,11 @@ def residue_documents(
         (F.col(paper) if paper else F.lit(None).cast("long")).alias("paper"),
     )
     lines = weak.join(about, "doc")
-    # host evidence: papers and hosts per skeleton, summed per host first
-    per_host = lines.groupBy("skeleton", "host").agg(F.approx_count_distinct("paper", 0.02).alias("papers"))
-    repeated = per_host.groupBy("skeleton").agg(F.sum("papers").alias("papers"), F.count("host").alias("hosts"), F.max("papers").alias("most"))
-    repeated = repeated.where((F.col("papers") >= same_papers) & ((F.col("hosts") >= 2) | (F.col("most") >= same_papers)))
+    # host evidence: how many papers come with a skeleton, and on how many hosts
+    once = lines.groupBy("skeleton", "host", "paper").agg(F.count("*").alias("n"))
+    papers_of = once.groupBy("skeleton", "paper").agg(F.count("*").alias("n")).groupBy("skeleton").agg(F.count("paper").alias("papers"))
+    hosts_of = once.groupBy("skeleton", "host").agg(F.sum("n").alias("n")).groupBy("skeleton").agg(F.count("host").alias("hosts"))
+    repeated = papers_of.join(hosts_of, "skeleton").where((F.col("papers") >= same_papers) & ((F.col("hosts") >= 2) | (F.col("papers") >= 2 * same_papers)))
     suspects = lines.join(repeated.select("skeleton"), "skeleton")
     if papers is not None and paper:
         names = papers.select(
