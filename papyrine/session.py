@@ -73,3 +73,34 @@ def fan_out(df: DataFrame, *keys) -> DataFrame:
     """
     n = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *[F.col(k) if isinstance(k, str) else k for k in keys]) if keys else df.repartition(n)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers of the executors.
+
+    One small task per session asks whether they have it already, by installation or PYTHONPATH; if
+    not, it is sent as a zip through Spark's own file distribution, which also serves
+    executors that join later.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    name = __name__.partition(".")[0]
+
+    def has(_) -> list[bool]:
+        import importlib.util
+
+        return [importlib.util.find_spec(name) is not None]
+
+    n = max(1, min(64, sc.defaultParallelism))
+    if not all(sc.parallelize(range(n), n).mapPartitions(has).collect()):
+        import shutil
+        from pathlib import Path
+
+        root = Path(__file__).resolve().parent
+        built = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), name), "zip", root_dir=root.parent, base_dir=root.name)
+        sc.addPyFile(built)
+    _SHIPPED.add(sc.applicationId)
