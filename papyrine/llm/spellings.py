@@ -53,10 +53,17 @@ _WORDS = {
     "science": "science", "sci": "science", "medical": "medical", "med": "medical", "center": "center", "centre": "center", "ctr": "center",
     "ai": "ai", "artificial": "artificial", "intelligence": "intelligence", "lab": "lab", "labs": "lab", "laboratory": "lab", "laboratories": "lab",
     "hospital": "hospital", "college": "college", "school": "school", "tu": "tu",
+    "universidad": "university", "universidade": "university", "universita": "university", "universiteit": "university", "universitaet": "university",
+    "technische": "technical", "technischen": "technical", "technisches": "technical", "technique": "technical", "tecnica": "technical", "tecnico": "technical",
+    "instituto": "institute", "istituto": "institute", "technologie": "tech", "tecnologia": "tech", "akademie": "academy", "academie": "academy",
+    "academia": "academy", "accademia": "academy", "wissenschaften": "science", "wissenschaft": "science", "ciencias": "science", "ciencia": "science", "scienze": "science",
+    "medizinisches": "medical", "medizinische": "medical", "medico": "medical", "medicale": "medical", "zentrum": "center", "centro": "center", "klinikum": "hospital",
+    "staatliche": "state", "staatlichen": "state", "estatal": "state", "detat": "state", "etat": "state", "ki": "ai", "ia": "ai", "kunstliche": "artificial",
+    "artificielle": "artificial", "intelligenz": "intelligence", "inteligencia": "intelligence", "labor": "lab", "laboratoire": "lab", "laboratorio": "lab",
 }
-_LONG = sorted({w for w in _WORDS if len(w) >= 5})
+_LONG = sorted({w for w in _WORDS if len(w) >= 5 and w not in ("detat", "labor", "medico", "centro")})
 _SHORT = sorted({w for w in _WORDS if 2 < len(w) <= 4})
-_DROP = frozenset("the of at and for in de la le der von und et an a inc ltd llc corp gmbh co plc sa ag".split())
+_DROP = frozenset("the of at and for in de la le les der die das des du del dell di da do von zu fur pour para y e und et an a inc ltd llc corp gmbh co plc sa ag".split())
 _UNIT = re.compile(r"^\W*(?:dept|department|school|faculty|division|institute|chair|section|group|lab|laboratory|center|centre)\b\.?\s+(?:of|for)\s+", re.I)
 _SUBJECT = re.compile(r"^\W*(?:dept|department|faculty|division|chair|section|group)\b|^\W*(?:school|college)\s+of\s", re.I)
 # What people write when they have no affiliation (fixed values).
@@ -139,6 +146,30 @@ def _kind(words: set[str]) -> str:
     return "other"
 
 
+# Short kind words that a misspelling hides, and the words beside which they are looked for (fixed values).
+_BESIDE = (
+    ({"ai"}, {"lab"}, ("lab", "labs"), "lab"), ({"lab"}, {"ai", "artificial"}, ("ai",), "ai"), ({"center"}, {"medical"}, ("med",), "medical"), ({"medical"}, {"center"}, ("ctr", "center"), "center"),
+    ({"university"}, {"state", "technical", "tech", "science"}, ("state", "stt"), "state"), ({"institute"}, {"tech", "technical"}, ("tech",), "tech"), (set(), {"*"}, ("tech",), "tech"),
+)
+
+
+def _complete(words: set[str], tokens: list[str]) -> list[str]:
+    """Name tokens without a short misspelt kind word, which is added to the words.
+
+    'AI Lbs' has its lab, 'Sate University' its state: a short token one edit from the word that the
+    others call for is that word, as long as a name is left.
+    """
+    for beside, absent, forms, word in _BESIDE:
+        if len(tokens) < 2 or (not beside <= words) or (words if absent == {"*"} else words & absent):
+            continue
+        for t in tokens[1:] + tokens[:1]:
+            if len(t) <= 5 and any(edits(t, f, 1) <= 1 for f in forms):
+                words.add(word)
+                tokens = [x for x in tokens if x != t]
+                break
+    return tokens
+
+
 def read(name: str) -> tuple[str, list[str], str | None, str | None] | None:
     """(kind, name tokens, last part if it is one token, acronym) of a string; None if it names nobody.
 
@@ -178,6 +209,7 @@ def read(name: str) -> tuple[str, list[str], str | None, str | None] | None:
         tokens += new
     if not tokens and not words:
         return None
+    tokens = _complete(words, tokens)
     return _kind(words), tokens, tail, gloss
 
 

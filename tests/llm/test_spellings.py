@@ -5,14 +5,14 @@ from papyrine.llm import spellings as S
 CLASSES = [
     ["University of Hovistotén, Buga", "U. Hovistotén, Buga", "Univ. of Hovistoten Buga", "Dept. of Physics, University of Hovistotén - Buga", "UNIVERSITY OF HOVISTOTÉN AT BUGA", "University of Hovitsotén, Buga", "University of Hovistotén, Buga (UHB)", "UHB", "University of Hovistotén, Buga, Lanvaland"],
     ["University of Hovistotén, Rani", "U Hovistotén Rani", "University  of Hovistotén, Rani "],
-    ["Varhidigo State University", "State University of Varhidigo", "Varhidigo St. Univ", "Varhidigo State", "Varhikigo State University"],
-    ["Varhidigo Academy of Sciences", "Academy of Sciences, Varhidigo", "Varhidigo Acad. Sci.", "Varhidigo Academy of Sciences, Varhidigo Academy of Sciences"],
-    ["Varhidigo University", "Uni Varhidigo", "The University of Varhidigo"],
+    ["Varhidigo State University", "State University of Varhidigo", "Varhidigo St. Univ", "Varhidigo State", "Varhidigo Sate University", "Varhidigo Stt. Univ", "Varhikigo State University"],
+    ["Varhidigo Academy of Sciences", "Academy of Sciences, Varhidigo", "Varhidigo Acad. Sci.", "Akademie der Wissenschaften Varhidigo", "Varhidigo Academy of Sciences, Varhidigo Academy of Sciences"],
+    ["Varhidigo University", "Uni Varhidigo", "The University of Varhidigo", "Universität Varhidigo", "Université de Varhidigo"],
     ["Gidoligo Medical Center", "Gidoligo Med Ctr", "Medical Center of Gidoligo", "Gidoligo Medical Centre, Lanvaland"],
-    ["Voluluvo AI Lab", "Voluluvo AI", "Voluluvo Artificial Intelligence Lab Inc."],
+    ["Voluluvo AI Lab", "Voluluvo AI", "Voluluvo Artificial Intelligence Lab Inc.", "Voluluvo AI Lbs", "AI Lba, Voluluvo", "Voluluvo AII Lab"],
     ["Kistudihu University of Science and Technology", "Kistudihu Univ. Sci. & Tech.", "KUST"],
-    ["Famastibru Institute of Technology", "Famastibru Inst. of Tech.", "Famastibru Tech"],
-    ["Technical University of Drevokili", "TU Drevokili", "Tech. Univ. of Drevokili"],
+    ["Famastibru Institute of Technology", "Famastibru Inst. of Tech.", "Famastibru Tech", "Famastibru Teech"],
+    ["Technical University of Drevokili", "TU Drevokili", "Tech. Univ. of Drevokili", "Technische Universität Drevokili"],
 ]
 
 
