@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Two-sided 99 percent bound of a standard normal.
@@ -22,11 +22,14 @@ def two_proportion_z(n0: Column, all0: Column, n1: Column, all1: Column) -> Colu
     return F.coalesce(F.when(variance > 1e-12, (p1 - p0) / F.sqrt(variance)), F.lit(0.0))
 
 
-def min_max(c: Column, *partition: str) -> Column:
-    """Scaled to 0..1; a constant is 0."""
-    w = Window.partitionBy(*[F.col(p) for p in partition]) if partition else Window.partitionBy(F.lit(0))
-    low, high = F.min(c).over(w), F.max(c).over(w)
-    return F.when(high > low, (c - low) / (high - low)).otherwise(F.lit(0.0))
+def min_max(rows: DataFrame, value: str, by: list[str], name: str = "scaled") -> DataFrame:
+    """Adds the value scaled to 0..1 within its group; a constant is 0.
+
+    The ends are aggregated and joined back, so a group is never gathered in one task.
+    """
+    ends = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))
+    return rows.join(ends, by).withColumn(name, scaled).drop("_lo", "_hi")
 
 
 def log_axis(c: Column, low: float, high: float) -> Column:

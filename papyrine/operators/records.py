@@ -59,14 +59,26 @@ def require_coverage(rows: DataFrame, field: str, least: float = 0.9) -> DataFra
     return rows
 
 
+#: Ranges of the hash in which a stratum is counted before it is ranked.
+RANGES = 4096
+
+
 def stratified_sample(rows: DataFrame, stratum: str, key: str, share: float, seed: int = 11) -> DataFrame:
-    """Of every stratum the share given, one row at least, by a seeded hash of the key."""
-    w = Window.partitionBy(stratum)
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    return (
-        rows.withColumn("_h", h).withColumn("_c", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy("_h", key)))
-        .where(F.col("_r") <= F.greatest(F.lit(1), F.round(F.col("_c") * share))).drop("_h", "_c", "_r")
-    )
+    """Of every stratum the share given, one row at least: those with the smallest seeded hash of the key.
+
+    Rows are counted by stratum and hash range first; whole ranges below the cut are taken, and only
+    the range that holds the cut is ranked, so a stratum of most rows is never sorted in one task.
+    """
+    r = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("_b", F.floor((F.col("_h") / 2.0**63 + 1) * (RANGES / 2)).cast("int"))
+    c = r.groupBy(stratum, "_b").agg(F.count("*").alias("_n"))
+    total = Window.partitionBy(stratum)
+    upto = total.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).withColumn("_k", F.greatest(F.lit(1), F.round(F.sum("_n").over(total) * share)))
+    c = c.where(F.col("_before") < F.col("_k")).withColumn("_whole", F.col("_before") + F.col("_n") <= F.col("_k")).select(F.col(stratum).alias("_s"), "_b", "_before", "_k", "_whole")
+    r = r.join(c.withColumnRenamed("_b", "_b2"), F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_b2")))
+    whole = r.where("_whole").select(*rows.columns)
+    edge = r.where("not _whole").withColumn("_r", F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", key)))
+    return whole.unionByName(edge.where("_before + _r <= _k").select(*rows.columns))
 
 
 def intern(rows: DataFrame, term: str, position: str) -> DataFrame:

@@ -205,12 +205,10 @@ r as (select *, row_number() over (partition by area order by score desc, term)
 
 def highlights(spark, d):
     """Spotlights where an edition declares any, else its orals."""
-    from pyspark.sql import Window
-
     p = _papers(spark, d)
-    w = Window.partitionBy("venue", "year")
-    flag = F.when(F.bool_or("is_spotlight").over(w), F.col("is_spotlight")).otherwise(F.col("is_oral"))
-    return p.withColumn("highlight", flag).where("highlight").groupBy("venue", "year").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    declared = p.groupBy("venue", "year").agg(F.bool_or("is_spotlight").alias("any"))
+    flag = F.when(F.col("any"), F.col("is_spotlight")).otherwise(F.col("is_oral"))
+    return p.join(declared, ["venue", "year"]).where(flag).groupBy("venue", "year").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
 HIGHLIGHTS = f"with {_P}, h as (select venue, year, event_id, case when bool_or(is_spotlight) over (partition by venue, year) then is_spotlight else is_oral end as h from p) select venue, year, count(*) as n, min(event_id) as first from h where h group by 1, 2"

@@ -95,7 +95,7 @@ def set_groups(spark, d):
 
 def minmax_scale(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type", "value")
-    return e.select("event_id", F.round(min_max(F.col("value"), "event_type"), 6).alias("scaled"))
+    return min_max(e, "value", ["event_type"]).select("event_id", F.round("scaled", 6).alias("scaled"))
 
 
 MINMAX_SCALE = "select event_id, round(case when max(value) over w > min(value) over w then (value - min(value) over w) / (max(value) over w - min(value) over w) else 0 end, 6) as scaled from events window w as (partition by event_type)"

@@ -149,6 +149,18 @@ def test_global_ids(spark):
     assert got == sorted(got) and len(got) == 90
 
 
+@pytest.mark.parametrize("share", [0.001, 0.1, 0.5, 1.0])
+def test_sample_is_the_smallest_hashes(spark, share):
+    df = spark.createDataFrame([(i, "abc"[i % 3] if i % 10 else "rare") for i in range(3000)] + [(5000, None)], "i long, s string")
+    got = records.stratified_sample(df, "s", "i", share)
+    hashed = [tuple(r) for r in df.select("s", "i", F.xxhash64(F.lit(11), "i")).collect()]
+    want = set()
+    for s in {x[0] for x in hashed}:
+        rows = sorted((h, i) for t, i, h in hashed if t == s)
+        want |= {i for _, i in rows[: max(1, int(len(rows) * share + 0.5))]}
+    assert {r.i for r in got.collect()} == want and got.columns == ["i", "s"]
+
+
 def test_coverage_gate(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "i long, a string")
     assert records.require_coverage(df, "a", 0.5).count() == 2
