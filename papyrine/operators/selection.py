@@ -66,15 +66,32 @@ def select_facets(items: DataFrame, facets: dict[str, list], leave_out: str | No
 
 
 def chip_counts(items: DataFrame, facets: dict[str, list], doc: str) -> DataFrame:
-    """(facet, value, n): for every chip, how many documents it would leave, its own facet ignored."""
-    out = None
+    """(facet, value, n): for every chip, how many documents it would leave, its own facet ignored.
+
+    One pass: a document counts for a facet if no other facet excludes it.
+    """
+    kinds = dict(items.dtypes)
+
+    def excluded(name: str) -> Column:
+        values = facets[name]
+        if not values:
+            return F.lit(0)
+        fits = F.arrays_overlap(F.col(name), F.array(*map(F.lit, values))) if kinds[name].startswith("array") else F.col(name).isin(*values)
+        return (~F.coalesce(fits, F.lit(False))).cast("int")
+
+    def chip(name: str):
+        return lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value"))
+
+    out = F.lit(0)
+    for name in facets:
+        out = out + excluded(name)
+    chips = []
     for name in facets:
-        base = select_facets(items, facets, leave_out=name)
-        value = F.explode(name) if dict(items.dtypes)[name].startswith("array") else F.col(name)
-        c = base.select(doc, value.alias("value")).where("value is not null").groupBy(F.col("value").cast("string").alias("value")).agg(F.count_distinct(doc).alias("n"))
-        c = c.select(F.lit(name).alias("facet"), "value", "n")
-        out = c if out is None else out.unionByName(c)
-    return out
+        values = F.transform(name, lambda v: v.cast("string")) if kinds[name].startswith("array") else F.array(F.col(name).cast("string"))
+        chips.append(F.when(out - excluded(name) == 0, F.transform(values, chip(name))).otherwise(F.array().cast("array<struct<facet:string,value:string>>")))
+    empty = F.array().cast("array<struct<facet:string,value:string>>")
+    rows = items.select(doc, F.explode(F.concat(*[F.coalesce(c, empty) for c in chips])).alias("c")).select(doc, "c.facet", "c.value")
+    return rows.where("value is not null").groupBy("facet", "value").agg(F.count_distinct(doc).alias("n"))
 
 
 def top_values(members: DataFrame, value: str, doc: str, top: int, least: int = 1, total: DataFrame | None = None) -> DataFrame:

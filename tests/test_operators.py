@@ -168,6 +168,13 @@ def test_coverage_gate(spark):
         records.require_coverage(df, "a", 0.9)
 
 
+def test_chips(spark):
+    df = spark.createDataFrame([(1, "x", ["a", "b"]), (2, "y", ["b"]), (3, None, None), (4, "x", ["c"])], "d long, k string, m array<string>")
+    got = {(r.facet, r.value): r.n for r in selection.chip_counts(df, {"k": ["x"], "m": ["b"]}, "d").collect()}
+    assert got == {("k", "x"): 1, ("k", "y"): 1, ("m", "a"): 1, ("m", "b"): 1, ("m", "c"): 1}
+    assert {(r.facet, r.value): r.n for r in selection.chip_counts(df, {"k": [], "m": []}, "d").collect()}[("k", "x")] == 2
+
+
 def test_pick_disjoint():
     assert selection.pick_disjoint([("sample size", 9), ("size", 8), ("noise", 7), ("noise level", 6), ("cost", 5)], 3) == ["sample size", "noise", "cost"]
 
