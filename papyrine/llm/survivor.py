@@ -120,8 +120,7 @@ def entry_groups(entries: DataFrame) -> DataFrame:
     by_id = e.where("submission is not null").select("event_id", F.xxhash64(F.lit("id"), "edition", "submission").alias("key"))
 
     # exact copies of title and authors are one node from here on, so only distinct ones are keyed
-    # entries of a paper agree in its first or its last surname in the alphabet, unless both are misprinted
-    who = F.explode(F.array_distinct(F.array(F.array_min("names"), F.array_max("names")))).alias("name")
+    who = F.explode("names").alias("name")
     twins = e.where("title <> ''").select("event_id", F.xxhash64("edition", "title", "part", F.array_sort("names")).alias("twin"), "edition", "part", "title", "names")
     by_twin = twins.select("event_id", F.xxhash64(F.lit("twin"), "twin").alias("key"))
     alone = twins.groupBy("twin").agg(F.min("event_id").alias("event_id"), F.first("edition").alias("edition"), F.first("part").alias("part"), F.first("title").alias("title"), F.first("names").alias("names"))

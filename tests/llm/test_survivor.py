@@ -36,6 +36,16 @@ def test_grouping(spark):
     assert g[9] == g[10] == 9 and all(g[i] == i for i in (5, 6, 7, 8, 12))
 
 
+def test_any_common_surname_links_near_titles(spark):
+    """First and last surname of the alphabet differ: misprinted, and a list with others at both ends."""
+    title = "Learning Sparse Graphs for Text Rankin"
+    g = groups(spark, [
+        row(1, authors=["A Kagele", "B Kobro", "C Pomefu", "D Stukebro"]), row(2, title, authors=["A Kcagele", "B Kobro", "C Pomefu", "D Stukebco"]),
+        row(3, title, authors=["E Aab", "C Pomefu", "F Zyx"]), row(4, title, authors=["G Kagel", "H Stuke"]),
+    ])
+    assert g == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_survivor_rules(spark):
     t = lambda d: dt.datetime(2025, 1, d)
     f = found(spark, [
