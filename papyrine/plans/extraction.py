@@ -72,7 +72,7 @@ def text_repairs(spark, d):
     """Extraction artefacts put right in every abstract: hyphens at breaks, citations, TeX, frames."""
     a = F.col("abstract")
     p = _papers(spark, d).where("abstract is not null")
-    broken = F.concat(F.lit("In this paper, we propose "), F.substring(a, 1, 60), F.lit(" condition- ing token- level $\\alpha$ [3, 12] (Lee et al., 2024) \\textbf{end}"))
+    broken = F.concat(F.lit("In this paper, we propose "), a, F.lit(" condition- ing token- level $\\alpha$ [3, 12] (Lee et al., 2024) \\textbf{end}"))
     fixed = E.elide(E.detex(E.strip_citations(E.dehyphen(broken))))
     return p.select("event_id", fixed.alias("fixed"), E.standalone(a).alias("standalone"))
 
