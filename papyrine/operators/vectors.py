@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.session import bounded_rows
+from papyrine.session import bounded_rows, cut
 
 #: Most groups whose centroids are sent to every task.
 MOST_GROUPS = 10_000
@@ -184,18 +184,52 @@ def group_selection(x: np.ndarray, most: int = 6, largest: float = 0.6) -> np.nd
     return best
 
 
+def _large_groups(vectors: DataFrame, part: str, key: str, vec: str, most: int = 6, largest: float = 0.6, rounds: int = 40) -> DataFrame:
+    """(part, key, group) as :func:`group_selection` gives them, each round one aggregate over all parts."""
+    order = Window.partitionBy(part).orderBy(key)
+    x = vectors.select(part, key, F.transform(vec, lambda v: v.cast("double")).alias("x"), (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy(part)).alias("n"))
+    size = F.greatest(F.sqrt(dot(F.col("x"), F.col("x"))), F.lit(1e-12))
+    x = cut(x.withColumn("size", size).withColumn("x", F.transform("x", lambda v: v / F.col("size"))).drop("size"))
+    chosen = x.select(part, F.lit(0).alias("k"), F.lit(2.0).alias("share")).distinct()
+    kept = x.select(part, key, F.lit(0).alias("k"), F.lit(0).alias("label"))
+    for k in range(2, most + 1):
+        rows = x.where(F.col("n") >= 3 * k)
+        first = F.array(*[F.floor(F.col("n") * j / k) for j in range(k)])
+        centres = cut(rows.where(F.array_contains(first, F.col("i").cast("long"))).select(part, (F.array_position(first, F.col("i").cast("long")) - 1).cast("int").alias("j"), F.col("x").alias("c")))
+        labels = rows.select(part, key, "x", F.lit(-1).alias("label"))
+        for _ in range(rounds):
+            all_centres = centres.groupBy(part).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "c"))), lambda e: e["c"]).alias("cs"))
+            sims = labels.join(all_centres, part).withColumn("sims", F.transform("cs", lambda c: dot(F.col("x"), c)))
+            new = cut(sims.select(part, key, "x", F.col("label").alias("old"), (F.array_position("sims", F.array_max("sims")) - 1).cast("int").alias("label")))
+            labels = new.drop("old")
+            if new.where("label <> old").isEmpty():
+                break
+            moved = labels.select(part, F.col("label").alias("j"), F.posexplode("x").alias("pos", "v")).groupBy(part, "j", "pos").agg(F.sum("v").alias("v")).groupBy(part, "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda e: e["v"]).alias("m"))
+            moved = moved.withColumn("size", F.greatest(F.sqrt(dot(F.col("m"), F.col("m"))), F.lit(1e-12))).select(part, "j", F.transform("m", lambda v: v / F.col("size")).alias("m"))
+            centres = cut(centres.join(moved, [part, "j"], "left").select(part, "j", F.coalesce("m", "c").alias("c")))
+        counts = labels.groupBy(part, "label").agg(F.count("*").alias("c")).groupBy(part).agg(F.count("*").alias("groups"), F.min("c").alias("least"), (F.max("c") / F.sum("c")).alias("share"))
+        chosen = chosen.union(counts.where((F.col("groups") == k) & (F.col("least") >= 3) & (F.col("share") <= largest)).select(part, F.lit(k), "share"))
+        kept = kept.union(labels.select(part, key, F.lit(k), "label"))
+    best = chosen.groupBy(part).agg(F.min(F.struct("share", "k"))["k"].alias("k"))
+    return kept.join(best, [part, "k"]).select(part, key, F.col("label").cast("long").alias("group"))
+
+
 def selection_groups(vectors: DataFrame, part: str, key: str, vec: str, most_rows: int = 400) -> DataFrame:
-    """(part, key, group) of each selection; a selection is a view of at most ``most_rows`` documents.
+    """(part, key, group) of each selection; one of at most ``most_rows`` documents is grouped in one task.
 
-    Rows beyond that are taken out by the caller's own limit; a larger part raises an error here.
+    Larger ones are grouped by the same rounds as aggregates over all tasks.
     """
     kinds = dict(vectors.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most_rows:
-            raise ValueError(f"a selection of {len(pdf)} documents; {most_rows} can be grouped")
         pdf = pdf.sort_values(key)
         x = np.array([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
         return pd.DataFrame({part: pdf[part], key: pdf[key], "group": group_selection(x)})
 
-    return vectors.groupBy(part).applyInPandas(run, f"{part} {kinds[part]}, {key} {kinds[key]}, group long")
+    def in_one_task(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(part).applyInPandas(run, f"{part} {kinds[part]}, {key} {kinds[key]}, group long")
+
+    large = cut(vectors.groupBy(part).agg(F.count("*").alias("n")).where(F.col("n") > most_rows).select(part))
+    if large.isEmpty():
+        return in_one_task(vectors)
+    return in_one_task(vectors.join(large, part, "left_anti")).union(_large_groups(vectors.join(large, part, "left_semi"), part, key, vec))
