@@ -4,34 +4,55 @@ Method: address slug, title and body are compared, and mismatched, duplicated
 low-information responses are flagged with combined host evidence and placeholder
 detectors.
 
-1. *Detectors* read every sentence of every line.  A detector is anchored at the start of
-   the sentence and speaks the voice of a response, not of a text about responses ("Log in
-   to ...", not "We count pages that ask to log in ..."), so texts that mention or quote
-   such notices are left alone.  A detected sentence settles its document.
-2. *Evidence* covers wording that no detector knows.  A line that only names things of a web
-   page or a form is a candidate.  Its skeleton, the line without numbers and reference
-   codes, is counted over all documents: a skeleton that comes with several unrelated papers on
-   several hosts, or with twice as many on one host, and that shares no term with the title or
-   the address slug of those papers, is a response.
-
-Step 1 is one pass without shuffle.  Step 2 shuffles candidate lines only, pre-aggregated by
-skeleton; the skeletons that remain are joined back.
+Every text is read as lines of sentences, and every sentence as its *skeleton*: the words in small
+letters, without numbers and reference codes.  Four kinds of evidence are combined:
+
+* *Duplication*: over all documents, the number of papers and of hosts a skeleton comes with.
+* *Mismatch*: it shares no longer word with the titles and address slugs of those papers.
+* *Information*: a response is a fixed phrase.  Its words come with it and hardly without it, while
+  the words of an ordinary sentence, even of one that is often repeated, stand in many
+  others.  This is the *closedness* of a skeleton: the greatest share, over its words, of the
+  sentences with that word that have this skeleton.
+* *Detectors*: placeholders (unfilled slots, filler Latin, stack traces), wording of notices, and
+  plain web words, from the strongest to the weakest.
+
+A placeholder settles a line.  Wording is believed where the line is made of such sentences and does not
+match the titles.  Web words need duplication over papers and hosts, a closed phrase and a
+mismatch beside them; and a phrase without any word known here needs more of the same, or has to
+make up the larger part of the document.  A sentence that stands in paragraphs of other sentences is
+no response, however often it is quoted.
+
+One pass reads the texts; what it shuffles is one hash per sentence, combined before the shuffle, and one
+count per word.  A second pass reads again only a text for each suspect phrase.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Different papers that must come with the same skeleton.
-SAME_PAPERS = 4
-#: Longest candidate line, in words.
-LINE_WORDS = 10
+from papyrine.session import cut
+
+#: Different papers that a phrase must come with: of a detected wording, of web words, of unknown words.
+PAPERS_WORDING, PAPERS_WEB, PAPERS_UNKNOWN = 2, 4, 8
+#: Least closedness of a phrase of web words, and of unknown words.
+CLOSED_WEB, CLOSED_UNKNOWN = 0.25, 0.5
+#: Share of its papers whose title or slug may share a longer word with a phrase; for wording that a detector knows.
+NEAR, NEAR_WORDING = 0.05, 0.5
+#: Sentences beside a phrase in its line, on average, more than where it has the fewest: a response stands as it is,
+#: while a sentence that is quoted stands in paragraphs of any length.
+BESIDE = 2
+#: Letters of a word that is compared with titles.
+TOLD = 5
+#: Counters that a task holds before it hands them over.
+FLUSH_WORDS = 400_000
 
 # --- detectors -------------------------------------------------------------------------
 
@@ -46,12 +67,12 @@ _START = [
     r"(?:bad gateway|gateway time-?out|service unavailable|forbidden|not found|unauthori[sz]ed|page not found|file not found)\s*[.!]?$",
     r"something went wrong",
     r"(?:oops|whoops|uh oh)\b",
-    r"(?:query|request|rendering|connection) (?:failed|refused|timed out|reset|blocked)\b",
+    r"(?:query|request|rendering|connection) (?:failed|refused|timed out|reset|blocked)\s*(?:[.!:;,]|$)",
     r"traceback \(most recent call last\)",
     r"file \"[^\"]+\", line \d+",
-    r"(?:[a-z_.]*\.)?[A-Za-z]*(?:error|exception)(?::\s|$)",
+    r"(?-i:(?:[a-z_]+\.)*[A-Z]\w*(?:Error|Exception))(?::\s|$)",
     r"at [\w$.]+\([\w.]+:\d+\)",
-    r"(?:sorry,?\s*)?(?:but )?(?:this|the|that) (?:\w+ ){0,3}" + _PAGE + r" (?:you (?:requested|asked for|are looking for|were looking for) )?(?:does not|doesn't|no longer|could not be|cannot be|can't be|was not|is not|is gone|(?:has been|was|is) (?:re)?(?:moved|deleted|archived|withdrawn|taken down|blocked|unavailable))",
+    r"(?:sorry,?\s*)?(?:but )?(?:this|the|that) (?:\w+ ){0,3}" + _PAGE + r" (?:you (?:requested|asked for|are looking for|were looking for) )?(?:(?:does not|doesn't|no longer) exists?\b|(?:could not|cannot|can't) be (?:found|loaded|shown|displayed|opened|reached|rendered|served|accessed)|was not found|is not (?:available|reachable|here\b|accessible|online|found)|is (?:no longer (?:available|here|online)|gone\b)|(?:has been|was|is) (?:(?:re)?moved|deleted|archived|withdrawn|taken down|blocked|unavailable)\s*(?:[.!,;:]|$|for|by|until|from (?:the|this|our)|to a))",
     r"nothing (?:here|was found|to see)\b",
     r"we (?:could not|couldn't|can't|cannot) find (?:the|this|that) " + _PAGE,
     r"(?:try again|please try again|come back) (?:later|soon|in )",
@@ -74,11 +95,11 @@ _START = [
     r"text extraction failed",
     r"no text layer",
     r"the file is (?:encrypted|damaged|corrupt|empty|password)",
-    r"(?:could not|unable to|failed to) (?:load|open|read|parse|extract|render|fetch|connect)\b",
+    r"(?:could not|unable to|failed to) (?:load|open|read|parse|extract|render|fetch|connect(?: to)?) (?:(?:the|this|that|your) )?(?:requested )?(?:" + _PAGE[3:-1] + r"|pdf|image|resource|module|data|text|abstract|url|host|database|session)\b",
     # maintenance, parked domains
     r"we (?:will|'ll) be (?:right )?back\b",
     r"(?:the|this) (?:proceedings|" + _PAGE[3:-1] + r") (?:are|is) (?:currently |temporarily )?(?:offline|down|unavailable|under maintenance|being updated)",
-    r"(?:scheduled|planned) (?:downtime|maintenance)",
+    r"(?:scheduled|planned) (?:downtime|maintenance)\s*(?:[.!:,]|$|until|from|in progress|on \d|is (?:in progress|under way))",
     r"(?:down|closed) for maintenance",
     r"(?:wartungsarbeiten|wegen wartung)\b",
     r"(?:sitio|servicio|página|servidor) (?:en mantenimiento|no disponible)",
@@ -98,7 +119,7 @@ _START = [
     r"(?:votre session|votre connexion)\b",
     r"(?:su|tu) sesión (?:ha |está )?(?:expirad|caducad|terminad)",
     r"(?:ihre|deine) (?:sitzung|anmeldung) (?:ist|wurde|hat)",
-    r"(?:access|acces)(?: to (?:this|the) [\w ]+)? (?:is |was |has been )?(?:denied|restricted|blocked|forbidden)\b(?!\s+(?:another|for|in|by \d|and))",
+    r"(?:access|acces)(?: to (?:this|the) [\w ]+)? (?:is |was |has been )?(?:denied|restricted|blocked|forbidden)\s*(?:[.!:]|$|for (?:you|your))",
     r"(?:la|esta) sesión (?:ha |está |se ha )?(?:expirad|caducad|terminad|cerrad)",
     r"(?:la|cette) session (?:a |est )?(?:expiré|terminé|fermé)",
     r"(?:die|diese) (?:sitzung|anmeldung) (?:ist|wurde) (?:abgelaufen|beendet|erforderlich)",
@@ -143,10 +164,11 @@ _START = [
     r"(?:diese|die) seite (?:benötigt|braucht|erfordert) (?:java ?script|skripte)",
     r"cette page (?:nécessite|a besoin de|exige) (?:java ?script|scripts)",
     r"esta página (?:necesita|requiere) (?:java ?script|scripts)",
-    r"(?:loading|fetching|chargement|cargando|wird geladen)\b[\w ]{0,24}(?:…|\.\.\.|\.|$)",
+    r"(?:loading|fetching|chargement|cargando|wird geladen)(?: \w+){0,3}\s*(?:…|\.\.\.)",
+    r"(?:loading|fetching|chargement|cargando|wird geladen)(?: (?:the|your))?(?: " + _PAGE + r")?\s*[.!]?$",
     # cookies
     r"(?:we|this site|our site|this website) (?:and our partners )?uses? cookies",
-    r"(?:accept|reject|allow|refuse|agree)(?: all)?(?: cookies)? ?/ ?",
+    r"(?:accept|reject|allow|refuse|agree)(?: all)?(?: cookies)? ?/ ?(?:accept|reject|decline|manage|refuse|settings|deny|more)\b(?: \w+)?\s*(?:[/.]|$)",
     r"(?:cookie|privacy) (?:settings|preferences|notice|policy|consent)\s*[.!]?$",
     r"this (?:content|page|section|video|text) is (?:hidden|blocked|not shown|unavailable) (?:until|unless|because|in your)",
     r"wir (?:verwenden|nutzen|setzen) cookies",
@@ -155,8 +177,8 @@ _START = [
     r"(?:diese|die) (?:seite|website) (?:verwendet|nutzt) cookies",
     # filler
     r"(?:your|the|insert|add|put|write|type|paste|enter)(?: your| the)? (?:abstract|title|text|summary|content|keywords?|authors?|name)(?: goes| text)? here\b",
-    r"(?:this|the) (?:paragraph|section|box|field|area|slot) (?:holds|contains|will hold|will contain|is reserved for|is a placeholder)",
-    r"(?:sample|dummy|placeholder|filler|example|test) text\b[,.:;! ]",
+    r"(?:this|the) (?:paragraph|section|box|field|area|slot) (?:(?:holds|contains|will hold|will contain|is reserved for) (?:the|your) (?:abstract|title|summary|text|keywords?|authors?|content)\b|is a placeholder)",
+    r"(?:sample|dummy|placeholder|filler|example|test) text\s*[,.:;!]",
     r"(?:sample|dummy|placeholder|filler) text$",
     r"(?:click|tap|double-click) (?:here )?to (?:edit|add|insert|replace)",
     r"replace (?:this|the) (?:text|paragraph|line|section)",
@@ -176,10 +198,10 @@ _START = [
     r"(?:cited|viewed|downloaded|read) (?:by|times) (?:nan|undefined|null|none)\b",
     r"(?:published|posted|updated|presented)(?: (?:on|at|in|by))? (?:undefined|nan|null|none|invalid date)\b",
     r"by (?:none|undefined|null|nan) (?:and|,)",
-    r"(?:none|nan|undefined|null) (?:views?|others?|papers?|citations?|authors?|downloads?|results?)\b",
-    r"[\w ]{2,20}:\s*(?:undefined|null|none|nan|\[object object\]|invalid date)\s*[.,;]?(?:$|\s+by (?:none|undefined|null|nan))",
+    r"(?:none|nan|undefined|null) (?:views?|others?|papers?|citations?|authors?|downloads?|results?)\s*[.!,;]?$",
+    r"(?:title|authors?|abstract|summary|venue|year|keywords?|paper[ _]url|url|date|topics?|decision|doi|pages?|session|track|poster|titel|autoren|zusammenfassung|titre|auteurs|résumé|título|autores|resumen):\s*(?:undefined|null|none|nan|\[object object\]|invalid date)\s*[.,;]?(?:$|\s+by (?:none|undefined|null|nan))",
     r"\[object object\]",
-    r"(\S{2,12})(?:\s+\1){2,}\b",
+    r"(\S{2,12})(?:\s+\1){2,}\b(?!\s+(?!(?P<next>\S{2,12})\s+(?P=next)\b)(?-i:[a-zà-ÿ]))",
 ]
 _DETECT = re.compile(r"\s*(?:[#*>•|=-]+\s*)?(?:" + "|".join(p if "\\1" not in p else p.replace("(\\S", "(?P<rep>\\S").replace("\\1", "(?P=rep)") for p in _START) + r")", re.I)
 _SOLE = re.compile(r"\s*(?:undefined|nan|null|none|n/a|tbd|lorem ipsum)\s*[.!]?\s*$", re.I)
@@ -187,7 +209,7 @@ _SOLE = re.compile(r"\s*(?:undefined|nan|null|none|n/a|tbd|lorem ipsum)\s*[.!]?\
 _SLOT = re.compile(
     r"(?<![\\^_$\w}])(?:\{\{\s*[\w .:|-]{1,40}\s*\}\}|\[\[\s*[\w .-]{1,40}\s*\]\]|<%=?\s*[\w. ]{1,40}\s*%>|[$#]\{\s*[\w.]{1,40}\s*\}"
     r"|\{%\s*\w[^%\n]{0,60}%\}|@@\w{1,40}@@|__[A-Za-z]\w{0,40}?__|<<\s*\w{1,40}\s*>>|%[A-Za-z_]{2,40}%"
-    r"|\[\s*(?:insert|your|enter|add) [^\]\n]{1,60}\]|<\s*(?:your|insert|enter) [^>\n]{1,60}>|\{[A-Za-z_]{2,40}\}|\{\d{1,2}\})"
+    r"|\[\s*(?i:insert|your|enter|add) [^\]\n]{1,60}\]|<\s*(?i:your|insert|enter) [^>\n]{1,60}>|\{[A-Za-z_]{2,40}\}|\{\d{1,2}\})"
 )
 _LABEL = re.compile(r"\s*(?:[#*>•-]+\s*)?(?:[\w ]{1,24}[:=]\s*)?[.,;]?\s*$")
 
@@ -230,19 +252,25 @@ def _latin(line: str) -> bool:
     )
 
 
+def placeholder(line: str) -> bool:
+    """Whether a line is an unfilled template or filler Latin."""
+    return _unfilled(line) or _latin(line)
+
+
+def detected(sentence: str) -> bool:
+    """Whether a sentence has the wording of a notice or is a value left out."""
+    return bool(_DETECT.match(sentence) or _SOLE.match(sentence) or _unfilled(sentence))
+
+
 def is_residue(line: str) -> bool:
-    """Whether a line, or a sentence of it, is a response or filler in place of content."""
-    if _unfilled(line) or _latin(line):
+    """Whether the detectors alone, without the evidence of other documents, take a line for a response."""
+    if placeholder(line):
         return True
-    for sentence in _SENTENCE.split(line):
-        if _DETECT.match(sentence) or _SOLE.match(sentence):
-            return True
-        if _unfilled(sentence):
-            return True
-    return False
+    found = [detected(s) for s in _SENTENCE.split(line) if not _neutral(s)]
+    return 2 * sum(found) >= len(found) > 0 and any(found)
 
 
-# --- candidate lines for the evidence step ----------------------------------------------
+# --- sentences ---------------------------------------------------------------------------
 
 # Words of web pages and forms, in the four languages of the corpus (fixed values).
 _WEB = frozenset(
@@ -254,41 +282,106 @@ _WEB = frozenset(
 )
 # Of these, words that settle a line of up to four words alone (fixed values).
 _WEB_SURE = frozenset("login signin captcha javascript cookies abgemeldet anmelden sitzung sesión caducado indisponible déconnecté wartung mantenimiento".split())
-#: Web words that a candidate line must have.
+#: Web words that a phrase must have.
 WEB_WORDS = 2
+# Words of notes on rights, thanks and sources that are repeated under texts (fixed values).
+_FURNITURE = frozenset(
+    "license licensed licence licensing copyright rights reserved creative commons doi isbn issn arxiv thank thanks acknowledge acknowledgements funded supported grant "
+    "published proceedings reprinted preprint lizenz rechte vorbehalten urheberrecht dank gefördert licencia derechos reservados gracias licence droits réservés remercions".split()
+)
 _CODE = re.compile(r"\b(?=\w*\d)\w+\b")
-_MENU = re.compile(r"[|›»/].*[|›»/]|^\s*(?:back to top|previous|next|home|contents|menu)\b", re.I)
+_MENU = re.compile(r"\S *[|›»] *\S|^\s*(?:back to top|previous|next|home|contents|menu)\b", re.I)
+_END = re.compile(r"[.!?…:。][\"'”’»)\]]*\s*$")
+
+
+def skeleton(sentence: str) -> list[str]:
+    """The words without numbers and codes, in small letters."""
+    low = sentence.lower()
+    return _WORD.findall(_CODE.sub(" ", low) if any(map(str.isdigit, low)) else low)
+
+
+def _neutral(sentence: str) -> bool:
+    """A reference code or number, alone or after a word or two: 'Trace d51095803e'."""
+    words = skeleton(sentence)
+    return not words or (len(words) <= 2 and _CODE.search(sentence) is not None and not _DETECT.match(sentence))
+
+
+def _hash(words: list[str]) -> int:
+    n = xxhash.xxh64_intdigest(" ".join(words))
+    return n - (1 << 64) if n >= 1 << 63 else n
+
 
+WORDING, PLACEHOLDER = 1, 2
+_SENTENCES = "array<struct<hash:long,line:int,n:int,words:int,kind:int,ends:boolean>>"
 
-def _candidate(line: str) -> str | None:
-    """The skeleton of a short line that speaks of web pages, else None."""
-    words = _WORD.findall(line.lower())
-    if not 3 <= len(words) <= LINE_WORDS or _MENU.search(line):
-        return None
-    if sum(w in _WEB for w in words) < WEB_WORDS and not (len(words) <= 4 and any(w in _WEB_SURE for w in words)):
-        return None
-    return " ".join(_WORD.findall(_CODE.sub(" ", line.lower())))
+
+def _sentences(text: str) -> list[tuple[int, int, int, list[str], int, bool]]:
+    """(hash, line, sentences of the line, words, kind, whether the line ends as a sentence) of every sentence."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    out = []
+    for at, line in enumerate(text.split("\n")):
+        if not line or line.isspace():
+            continue
+        if placeholder(line):
+            words = skeleton(line)
+            out.append((_hash(words), at, 1, words, PLACEHOLDER, True))
+            continue
+        held = []
+        for s in _SENTENCE.split(line):
+            words = skeleton(s)
+            sure = detected(s)
+            if sure or (words and not (len(words) <= 2 and _CODE.search(s))):
+                held.append((words, WORDING if sure else 0))
+        ends = _END.search(line) is not None and not _MENU.search(line)
+        out += [(_hash(words), at, len(held), words, kind, ends) for words, kind in held]
+    return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, paper, host, start, doc_words, sentences, word, n): a row for each text, then rows of word counts."""
+    counts: Counter[str] = Counter()
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+    names = ["hash", "line", "n", "words", "kind", "ends"]
+    columns = ["doc", "paper", "host", "start", "doc_words", "sentences", "word", "n"]
+    first = None
+
+    def flush() -> pa.RecordBatch:
+        n = len(counts)
+        none = [pa.nulls(n, t) for t in first.types[:6]]
+        out = pa.RecordBatch.from_arrays([*none, pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=columns)
+        counts.clear()
+        return out
+
+    for batch in batches:
+        offsets, flat, starts, sizes = [0], [], [], []
+        for text in batch.column(3).to_pylist():
+            found = _sentences(text)
+            for row in found:
+                counts.update(set(row[3]))
+            flat += [(h, at, n, len(w), kind, ends) for h, at, n, w, kind, ends in found]
+            offsets.append(len(flat))
+            starts.append(_hash(text.lstrip()[:1000].split("\n", 1)[:1]))
+            sizes.append(sum(len(row[3]) for row in found))
+        inner = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat) if flat else [[]] * 6, kinds)], names=names)
+        n = batch.num_rows
+        out = pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), batch.column(2), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())],
+            names=columns,
+        )
+        first = out.schema if first is None else first
+        yield out
+        if len(counts) >= FLUSH_WORDS:
+            yield flush()
+    if counts:
+        yield flush()
+
+
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, words) of the sentences of texts."""
     for batch in batches:
-        docs, lines = [], []
-        for doc, text in zip(batch.column(0), batch.column(1).to_pylist()):
-            weak = []
-            if not text.isascii():
-                text = unicodedata.normalize("NFKC", text)
-            for line in text.split("\n"):
-                if not line or line.isspace():
-                    continue
-                if is_residue(line):
-                    docs.append(doc), lines.append(None)
-                    break
-                if len(line) <= 200 and (s := _candidate(line)):
-                    weak.append(s)
-            else:
-                for s in dict.fromkeys(weak):
-                    docs.append(doc), lines.append(s)
-        yield pa.RecordBatch.from_arrays([pa.array([d.as_py() for d in docs], batch.schema.field(0).type), pa.array(lines, pa.string())], names=["doc", "skeleton"])
+        found = {row[0]: row[3] for text in batch.column(0).to_pylist() for row in _sentences(text)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.string()))], names=["hash", "words"])
 
 
 def residue_documents(
@@ -300,44 +393,91 @@ def residue_documents(
     paper: str | None = "event_id",
     title: str = "title",
     slug: str | None = "virtual_url",
-    same_papers: int = SAME_PAPERS,
+    same_papers: int = PAPERS_WEB,
 ) -> DataFrame:
-    """(doc_id, evidence): documents holding residue; evidence is 'detector' or 'duplicated'.
+    """(doc_id, evidence): documents holding residue.
+
+    evidence is 'duplicated' where the phrase comes with several papers on several hosts, else
+    'placeholder' or 'wording', the detector that speaks alone.
 
     * Rows with a null identifier or text take no part; an empty text holds no residue.
     * Every copy of a document is judged by its own text, so copies come out alike.
-    * Without ``papers``, or for documents without a paper, only detectors and duplication
-      over hosts speak.  Empty tables give no rows; other columns are ignored.
+    * A document without a paper counts as a paper of its own by its first line, so its copies are one.
+    * Without ``papers`` nothing is compared with titles.  Empty tables give no rows; other columns are
+      ignored.
     """
-    docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     kind = documents.schema[doc_id].dataType.simpleString()
-    from papyrine.session import cut
-
-    scanned = cut(docs.mapInArrow(_scan, f"doc {kind}, skeleton string"))
-    sure = scanned.where("skeleton is null").select("doc").distinct().withColumn("evidence", F.lit("detector"))
-    weak = scanned.where("skeleton is not null")
-
     about = documents.select(
         F.col(doc_id).alias("doc"),
-        (F.lower(F.trim(host)) if host else F.lit(None).cast("string")).alias("host"),
         (F.col(paper) if paper else F.lit(None).cast("long")).alias("paper"),
+        (F.lower(F.trim(host)) if host else F.lit(None).cast("string")).alias("host"),
+        F.col(text).alias("text"),
+    ).where("doc is not null and text is not null")
+    paper_kind = about.schema["paper"].dataType.simpleString()
+    scanned = cut(about.mapInArrow(_scan, f"doc {kind}, paper {paper_kind}, host string, start long, doc_words int, sentences {_SENTENCES}, word string, n long"))
+    texts = scanned.where("word is null")
+    unit = F.when(F.col("paper").isNull(), F.xxhash64(F.lit("start"), "start")).otherwise(F.xxhash64(F.lit("paper"), "paper"))
+    rows = texts.select("doc", "paper", F.xxhash64("host").alias("host"), unit.alias("unit"), "doc_words", F.inline("sentences")).withColumnRenamed("n", "of")
+
+    # host evidence: papers and hosts of every phrase
+    once = rows.groupBy("hash", "unit").agg(F.count("*").alias("n"), F.max("kind").alias("kind"), F.min("of").alias("least"), F.sum("of").alias("sum"), F.min("host").alias("h1"), F.max("host").alias("h2"), F.min("doc").alias("doc"))
+    seen = once.groupBy("hash").agg(F.count("*").alias("papers"), F.sum("n").alias("n"), F.max("kind").alias("kind"), (F.sum("sum") <= (F.min("least") + BESIDE) * F.sum("n")).alias("stands"), (F.min("h1") < F.max("h2")).alias("hosts"), F.min("doc").alias("doc"))
+    suspects = cut(seen.where((F.col("kind") > 0) | ((F.col("papers") >= same_papers) & (F.col("hosts") | (F.col("papers") >= 2 * same_papers)) & F.col("stands"))))
+
+    # their words, read again from one text each
+    again = about.select("doc", "text").join(suspects.select("doc").distinct(), "doc", "left_semi").select("text").mapInArrow(_phrases, "hash long, words array<string>")
+    phrases = again.join(suspects.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.first("words").alias("words"))
+    each = phrases.join(suspects.select("hash", "n"), "hash").select("hash", "n", F.explode(F.array_distinct("words")).alias("word"))
+    known = scanned.where("word is not null").groupBy("word").agg(F.sum("n").alias("total"))
+    closed = each.join(known, "word").groupBy("hash").agg(F.max(F.col("n") / F.col("total")).alias("closed"))
+    web = F.size(F.filter("words", lambda w: w.isin(*_WEB)))
+    sure = (F.size("words") <= 4) & F.exists("words", lambda w: w.isin(*_WEB_SURE))
+    furniture = F.exists("words", lambda w: w.isin(*_FURNITURE))
+    judged = suspects.drop("doc").join(phrases, "hash").join(closed, "hash", "left").select(
+        "hash", "kind", "papers", "hosts", F.coalesce("closed", F.lit(0.0)).alias("closed"), ((web >= WEB_WORDS) | sure).alias("web"), furniture.alias("furniture"),
+        F.filter("words", lambda w: F.length(w) >= TOLD).alias("told"),
     )
-    lines = weak.join(about, "doc")
-    # host evidence: how many papers come with a skeleton, and on how many hosts
-    once = lines.groupBy("skeleton", "host", "paper").agg(F.count("*").alias("n"))
-    papers_of = once.groupBy("skeleton", "paper").agg(F.count("*").alias("n")).groupBy("skeleton").agg(F.count("paper").alias("papers"))
-    hosts_of = once.groupBy("skeleton", "host").agg(F.sum("n").alias("n")).groupBy("skeleton").agg(F.count("host").alias("hosts"))
-    repeated = papers_of.join(hosts_of, "skeleton").where((F.col("papers") >= same_papers) & ((F.col("hosts") >= 2) | (F.col("papers") >= 2 * same_papers)))
-    suspects = lines.join(repeated.select("skeleton"), "skeleton")
+    judged = cut(judged.where((F.col("kind") > 0) | ((F.col("closed") >= CLOSED_UNKNOWN) & ~F.col("furniture")) | (F.col("web") & (F.col("closed") >= CLOSED_WEB))))
+
+    # titles and slugs of the papers they come with
     if papers is not None and paper:
         names = papers.select(
             F.col(paper).alias("paper"),
             F.array_distinct(F.split(F.lower(F.concat_ws(" ", F.col(title), F.regexp_replace(F.col(slug), r"[^A-Za-z]+", " ") if slug else F.lit(""))), r"[^\p{L}]+")).alias("terms"),
         ).where("paper is not null").groupBy("paper").agg(F.first("terms").alias("terms"))
-        suspects = suspects.join(names, "paper", "left")
-        told = F.filter(F.split("skeleton", " "), lambda w: F.length(w) >= 5)
-        suspects = suspects.withColumn("near", F.coalesce(F.arrays_overlap(told, "terms"), F.lit(False)))
-        judged = suspects.groupBy("skeleton").agg(F.avg(F.col("near").cast("double")).alias("near")).where("near <= 0.05")
-        suspects = suspects.join(judged.select("skeleton"), "skeleton", "left_semi")
-    found = suspects.select("doc").distinct().withColumn("evidence", F.lit("duplicated"))
-    return sure.unionByName(found).groupBy("doc").agg(F.min("evidence").alias("evidence")).withColumnRenamed("doc", doc_id)
+        met = rows.where("paper is not null").select("hash", "paper").join(judged.select("hash", "told"), "hash").distinct()
+        near = met.join(names, "paper").groupBy("hash").agg(F.avg(F.arrays_overlap("told", "terms").cast("double")).alias("near"))
+        judged = judged.join(near, "hash", "left").withColumn("near", F.coalesce("near", F.lit(0.0)))
+    else:
+        judged = judged.withColumn("near", F.lit(0.0))
+    many = F.col("hosts") | (F.col("papers") >= 2 * same_papers)
+    judged = judged.select(
+        "hash",
+        ((F.col("papers") >= PAPERS_WORDING) & F.col("hosts")).alias("repeated"),
+        F.when(F.col("kind") == PLACEHOLDER, "placeholder")
+        .when((F.col("kind") == WORDING) & (F.col("near") <= NEAR_WORDING), "wording")
+        .when((F.col("near") <= NEAR) & (F.col("papers") >= same_papers) & many & F.col("web"), "web")
+        .when((F.col("near") <= NEAR) & (F.col("papers") >= PAPERS_UNKNOWN) & F.col("hosts") & (F.col("closed") >= CLOSED_UNKNOWN) & ~F.col("furniture"), "unknown")
+        .alias("why"),
+    ).where("why is not null")
+
+    # a line is a response if such sentences make it up
+    met = rows.join(judged, "hash")
+    of = lambda *why: F.count(F.when(F.col("why").isin(*why), 1))
+    lines = met.groupBy("doc", "doc_words", "line", "of", "ends").agg(
+        of("placeholder").alias("placeholders"), of("wording").alias("wording"), F.count("*").alias("found"), of("unknown").alias("unknown"), F.max("repeated").alias("repeated"), F.sum("words").alias("words"),
+    )
+    whole = F.col("found") >= F.col("of")
+    lines = lines.withColumn(
+        "is",
+        F.when(F.col("placeholders") > 0, "placeholder")
+        .when((F.col("wording") > 0) & (2 * F.col("found") >= F.col("of")), "wording")
+        .when(whole & ((F.col("unknown") == 0) | F.col("ends")), "duplicated")
+        .when(whole, "part"),
+    ).where(F.col("is").isNotNull())
+    docs = lines.groupBy("doc").agg(
+        F.max(F.col("is") != "part").alias("sure"), F.max((F.col("is") == "duplicated") | (F.col("repeated") & (F.col("is") != "part"))).alias("duplicated"),
+        F.max(F.col("is") == "placeholder").alias("placeholder"), (2 * F.sum("words") >= F.first("doc_words")).alias("most"),
+    ).where("sure or most")
+    evidence = F.when(F.col("duplicated") | ~F.col("sure"), "duplicated").when(F.col("placeholder"), "placeholder").otherwise("wording")
+    return docs.select(F.col("doc").alias(doc_id), evidence.alias("evidence"))

@@ -72,6 +72,27 @@ def test_left_alone(line):
     assert not R.is_residue(line)
 
 
+# Ordinary sentences of papers, also as the only sentence of a text.
+ORDINARY = """This paper does not assume convexity of the loss.
+The paper is not about scaling laws.
+The server does not see raw gradients.
+This article was not peer reviewed.
+Competing interests: none.
+Error: 12.3% on the test set.
+Very very very deep networks are hard to train.
+Failed to open a second front, the method stalls.
+Scheduled maintenance of power grids is an NP-hard problem.
+Access restricted to employees is a limitation of this data.
+Null results are rarely published.
+This section contains proofs of both lemmas.
+Loading data is slow.""".split("\n")
+
+
+@pytest.mark.parametrize("line", ORDINARY)
+def test_ordinary_sentences(line):
+    assert not R.is_residue(line)
+
+
 def docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, event_id long")
 
@@ -99,3 +120,35 @@ def test_evidence_of_unknown_wording(spark):
 def test_clashing_columns(spark):
     d = spark.createDataFrame([(1, BAD[0], "a", 1, "x", "y")], "doc_id long, text string, source string, event_id long, evidence string, skeleton string")
     assert R.residue_documents(d).first().doc_id == 1
+
+
+def test_unknown_notice_of_another_language(spark):
+    """A notice no word of which is known is found by duplication, in whole texts and in parts; quotes and furniture are not."""
+    words = "graph policy kernel prior sensor reward loss index cache shard query token field layer".split()
+    p = spark.createDataFrame([(i, f"On {words[i % 14]} models of {words[i % 13]}", f"/virtual/{i}") for i in range(400)], "event_id long, title string, virtual_url string")
+    notice = "Ce fonds demeure clos aux lecteurs de passage."
+    prose = lambda i: f"We fit the {words[i % 14]} before the {words[i % 11]} and the {words[i % 13]} is kept. Later the {words[i % 7]} grows with the {words[i % 12]}."
+    rows = [(i, notice, f"h{i % 10}", i) for i in range(100)]
+    rows += [(i, prose(i) + "\n" + notice + "\n" + prose(i + 3), f"h{i % 10}", i) for i in range(100, 200)]
+    rows += [(i, prose(i) + "\n" + prose(i + 1) + "\nThis work is licensed under terms of the host.\nBack to top", f"h{i % 10}", i) for i in range(200, 300)]
+    got = {r.doc_id: r.evidence for r in R.residue_documents(docs(spark, rows), p).collect()}
+    assert got == {i: "duplicated" for i in range(200)}
+    quoted = [(i, prose(i) + " " + notice + " " + prose(i + 3), f"h{i % 10}", i) for i in range(100)]
+    assert R.residue_documents(docs(spark, quoted), p).count() == 0
+
+
+def test_phrase_of_the_titles_is_no_response(spark):
+    p = spark.createDataFrame([(i, "Sparse policies awaiting rewards", None) for i in range(30)], "event_id long, title string, virtual_url string")
+    rows = [(i, "Sparse policies awaiting rewards are studied.", f"s{i % 3}", i) for i in range(20)]
+    assert R.residue_documents(docs(spark, rows), p).count() == 0
+
+
+def test_copies_of_one_text_are_one_paper(spark):
+    text = "A body of its own.\nUnlike any other body."
+    rows = [(i, text, f"s{i % 3}", None) for i in range(20)] + [(100 + i, text, f"s{i % 3}", 7) for i in range(20)]
+    assert R.residue_documents(docs(spark, rows)).count() == 0
+
+
+def test_evidence_labels(spark):
+    rows = [(1, "Title: {{authors}}", "a", 1), (2, "Login required.", "a", 2), (3, "Seite nicht gefunden.", "a", 3), (4, "Seite nicht gefunden.", "b", 4)]
+    assert {r.doc_id: r.evidence for r in R.residue_documents(docs(spark, rows)).collect()} == {1: "placeholder", 2: "wording", 3: "duplicated", 4: "duplicated"}
