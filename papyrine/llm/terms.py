@@ -1,19 +1,23 @@
 """Frequency of every distinct term, with rare and common terms marked (problem 3).
 
 Method: last-seen counters.  Tokens are streamed ordered by record, and each term stores
-three numbers only: occurrences, records and the identifier of the last record it was seen
-in.  A record is counted when the identifier changes, so no set of records is ever kept.
-
-Texts are partitioned by ranges of (record, digest of the text) and sorted, so the rows of a
-record are adjacent.  A record whose rows cross the edge of a partition (one delivered with a
-third of all texts may fill many) is handed on by name, and its terms are counted once over all
-partitions.  The counters are partial aggregates, hash-partitioned by term and summed: what is
-shuffled is one row per term and partition, never one row per token.
+three numbers only: occurrences, records and the last record it was seen in.  A record is
+counted when that number changes, so no set of terms or records is ever kept.
+
+Texts are shuffled once, by ranges of (record, digest of the text, task they come from), and
+sorted.  A text delivered again follows its first delivery and is skipped, and the rows of a record
+are adjacent; a record, or one text, delivered with a third of all rows is cut into as many
+partitions as it fills.  What a cut can hit is handed on by name: the first and the last text of a partition
+with record and digest, the other texts of its first and last record with the record.  Parts of one
+name count once when partitions are merged.  The counters are partial aggregates,
+hash-partitioned by term and summed: what is shuffled is one row per term and partition, never
+one row per token.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,66 +43,103 @@ def terms_of(text: str) -> list[str]:
     return _LETTERS.findall(unicodedata.normalize("NFKC", text).lower())
 
 
-_PARTIAL = ["term", "occurrences", "records", "edge"]
+#: Letters of the record at hand that wait for its end; a longer record goes on by name.
+HELD_CHARS = 1 << 24
 
+_PARTIAL = ["term", "occurrences", "records", "edge", "digest"]
 
-def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counters of one partition: (term, occurrences, records, edge).
 
-    Terms of the first and of the last record come on rows of their own with the record as ``edge``
-    and no count of records, since those two may go on in another partition.
-    """
-    seen: dict[str, list] = {}
-    edge: dict[str, int] = {}  # terms of the first record, later of the record at hand
-    previous: object = None
-    by_name = True  # whether the record at hand goes on rows of its own
-
-    def rows(terms, occurrences, records, name) -> pa.RecordBatch:
-        n = len(terms)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), pa.array(occurrences, pa.int64()), pa.array(records, pa.int64()), pa.array([None if name is None else str(name)] * n, pa.string())], names=_PARTIAL
-        )
-
-    def flush() -> pa.RecordBatch:
-        out = rows(list(seen), [c[0] for c in seen.values()], [c[1] for c in seen.values()], None)
-        seen.clear()
+class _Counters:
+    """Last-seen counters of one partition."""
+
+    def __init__(self):
+        self.seen: dict[str, list[int]] = {}  # term: occurrences, records, last record
+        self.order = 0
+
+    def record(self, texts: list[str]) -> None:
+        """Count a record that lies within the partition."""
+        self.order += 1
+        at, seen = self.order, self.seen
+        for text in texts:
+            for term in terms_of(text):
+                c = seen.get(term)
+                if c is None:
+                    seen[term] = [1, 1, at]
+                else:
+                    c[0] += 1
+                    if c[2] != at:
+                        c[1] += 1
+                        c[2] = at
+
+    def flush(self) -> pa.RecordBatch:
+        """Hand over; between records only, so none is counted twice."""
+        out = _rows(self.seen, [c[0] for c in self.seen.values()], [c[1] for c in self.seen.values()])
+        self.seen = {}
         return out
 
-    def settle() -> None:
-        """The record at hand is over: its terms go to the counters."""
-        for term, n in edge.items():
-            c = seen.get(term)
-            if c is None:
-                seen[term] = [n, 1, previous]
-            else:
-                c[0] += n
-                if c[2] != previous:
-                    c[1] += 1
-                    c[2] = previous
+
+def _rows(terms, occurrences, records, edge=None, digest=None) -> pa.RecordBatch:
+    n = len(terms)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(terms), pa.string()), pa.array(occurrences, pa.int64()), pa.array(records, pa.int64()), pa.array([edge] * n, pa.string()), pa.array([digest] * n, pa.int64())], names=_PARTIAL
+    )
+
+
+def _named(counts: Counter, edge: object, digest: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Terms by name."""
+    if counts:
+        yield _rows(counts, list(counts.values()), [0] * len(counts), str(edge), digest)
+        counts.clear()
+
+
+def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counters of one partition of (record, digest, text) in order of record and digest.
+
+    (term, occurrences, records, edge, digest): without edge, whole records of this partition.  With it, a part
+    of the record of that name, which may go on in another partition: with digest of a text that may
+    be there too, else of a text that cannot.
+    """
+    counters = _Counters()
+    held: list[str] = []  # whole texts of the record at hand, if it began in this partition
+    chars = 0
+    named: Counter[str] = Counter()  # terms of the record at hand, if it goes on by name
+    record = digest = text = None  # the text at hand; it is settled when the next one comes
+    first_text = by_name = True
 
     for batch in batches:
-        for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if record != previous:
-                if previous is not None:
-                    if by_name:
-                        yield rows(list(edge), list(edge.values()), [0] * len(edge), previous)
-                        by_name = False
-                    else:
-                        settle()
-                    if len(seen) >= FLUSH_TERMS:  # between records only, so none is counted twice
-                        yield flush()
-                edge.clear()
-                previous = record
-            for term in terms_of(text):
-                edge[term] = edge.get(term, 0) + 1
-            if len(edge) >= FLUSH_TERMS:  # a record of very many terms; all it has goes by name
-                by_name = True
-                yield rows(list(edge), list(edge.values()), [0] * len(edge), previous)
-                edge.clear()
-    if edge:
-        yield rows(list(edge), list(edge.values()), [0] * len(edge), previous)
-    if seen:
-        yield flush()
+        for r, d, t in zip(*(c.to_pylist() for c in batch.columns)):
+            if r == record and d == digest:
+                continue  # delivered again
+            if text is not None:
+                if first_text:
+                    yield from _named(Counter(terms_of(text)), record, digest)
+                elif by_name:
+                    named.update(terms_of(text))
+                else:
+                    held.append(text)
+                    chars += len(text)
+                    if chars >= HELD_CHARS:
+                        by_name = True
+                        for x in held:
+                            named.update(terms_of(x))
+                        held, chars = [], 0
+                first_text = False
+                if r != record or len(named) >= FLUSH_TERMS:
+                    yield from _named(named, record)
+                if r != record:
+                    if held:
+                        counters.record(held)
+                        if len(counters.seen) >= FLUSH_TERMS:
+                            yield counters.flush()
+                    held, chars, by_name = [], 0, False
+            record, digest, text = r, d, t
+    if text is not None:  # the last record, and its last text, may go on elsewhere
+        for x in held:
+            named.update(terms_of(x))
+        yield from _named(named, record)
+        yield from _named(Counter(terms_of(text)), record, digest)
+    if counters.seen:
+        yield counters.flush()
 
 
 def term_frequencies(
@@ -119,14 +160,14 @@ def term_frequencies(
     * An empty table, or texts without letters, give no terms.  Other columns are ignored.
     """
     texts = rows.select(F.col(record).alias("record"), F.col(text).alias("text")).where("record is not null and text is not null")
-    # the digest stands in for the text, so distinct does not carry texts twice
-    once = texts.groupBy("record", F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = once.repartitionByRange(n, "record", "digest").sortWithinPartitions("record", "digest").select("record", "text")
-    partial = ordered.mapInArrow(_counters, "term string, occurrences long, records long, edge string")
-    # a record at an edge counts once per term, whatever number of partitions it crosses
-    merged = partial.groupBy("term", "edge").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    merged = merged.withColumn("records", F.when(F.col("edge").isNull(), F.col("records")).otherwise(1))
+    # the digest tells the texts of one record apart; the task cuts one text that is delivered very often
+    keyed = texts.select("record", F.xxhash64("text", F.length("text")).alias("digest"), F.spark_partition_id().alias("task"), "text")
+    ordered = keyed.repartitionByRange(n, "record", "digest", "task").sortWithinPartitions("record", "digest").select("record", "digest", "text")
+    partial = ordered.mapInArrow(_counters, "term string, occurrences long, records long, edge string, digest long")
+    # a text at an edge counts once, and a record at an edge once for each term, whatever number of partitions they cross
+    parts = partial.groupBy("term", "edge", "digest").agg(F.when(F.col("digest").isNull(), F.sum("occurrences")).otherwise(F.max("occurrences")).alias("occurrences"), F.sum("records").alias("records"))
+    merged = parts.groupBy("term", "edge").agg(F.sum("occurrences").alias("occurrences"), F.when(F.col("edge").isNull(), F.sum("records")).otherwise(1).alias("records"))
     counts = merged.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     total = texts.agg(F.countDistinct("record").alias("n_records"))  # one row
     mark = (

@@ -37,30 +37,58 @@ def test_hot_record_and_long_text(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_flush_and_edges(monkeypatch):
-    """Counters that are handed over early, and records cut by partition edges, add up."""
+def merge(parts):
+    """What the aggregates of the operator make of partial counters."""
+    text, rec = defaultdict(int), defaultdict(int)
+    for part in parts:
+        for t, o, r, e, d in part:
+            if d is None:
+                text[t, e, d] += o
+            else:
+                text[t, e, d] = max(text[t, e, d], o)
+            rec[t, e] = rec[t, e] + r if e is None else 1
+    occ, recs = Counter(), Counter()
+    for (t, _, _), o in text.items():
+        occ[t] += o
+    for (t, _), r in rec.items():
+        recs[t] += r
+    return occ, recs
+
+
+def partials(rows, cuts):
     import pyarrow as pa
 
-    monkeypatch.setattr(terms, "FLUSH_TERMS", 3)
-    rows = [(i // 3, f"t{chr(97 + i % 7)} shared tail again shared") for i in range(40)]
-    for cuts in ((), (1,), (2, 3, 20), (4, 5, 6, 7, 39)):
-        parts = [rows[a:b] for a, b in zip((0, *cuts), (*cuts, len(rows)))]
-        occ, recs, edges = Counter(), Counter(), set()
-        for part in parts:
-            batches = [pa.RecordBatch.from_arrays([pa.array([r for r, _ in part[i : i + 4]]), pa.array([t for _, t in part[i : i + 4]])], names=["a", "b"]) for i in range(0, len(part), 4)]
-            for b in terms._counters(iter(batches)):
-                for t, o, r, e in zip(*[c.to_pylist() for c in b.columns]):
-                    occ[t] += o
-                    recs[t] += r
-                    if e is not None:
-                        edges.add((t, e))
-        for t, _ in edges:
-            recs[t] += 1
-        want = defaultdict(set)
-        for r, t in rows:
-            for w in t.split():
-                want[w].add(r)
-        assert {t: n for t, n in recs.items() if n} == {t: len(x) for t, x in want.items()} and occ["shared"] == 80
+    for part in [rows[a:b] for a, b in zip((0, *cuts), (*cuts, len(rows)))]:
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part[i : i + 4])], names=["record", "digest", "text"]) for i in range(0, len(part), 4)]
+        yield [row for b in terms._counters(iter(batches)) for row in zip(*[c.to_pylist() for c in b.columns])]
+
+
+def test_flush_and_edges(monkeypatch):
+    """Counters that are handed over early, long records, and records and texts cut by partition edges add up."""
+    rng = random.Random(4)
+    for flush, held in ((3, 1 << 24), (10**6, 60), (3, 1)):
+        monkeypatch.setattr(terms, "FLUSH_TERMS", flush)
+        monkeypatch.setattr(terms, "HELD_CHARS", held)
+        rows = sorted((i // 5, i % 5 // 2, f"t{chr(97 + i // 2 % 7)} shared tail again shared {chr(97 + i // 5)}") for i in range(60))
+        rows = [(r, d, next(t for q, e, t in rows if (q, e) == (r, d)) + f" digest{chr(97 + d)}") for r, d, _ in rows]
+        want = brute([(r, t) for r, _, t in rows])
+        for cuts in ((), (1,), (2, 3, 20), (4, 5, 6, 7, 39), *(sorted(rng.sample(range(1, 60), 6)) for _ in range(40))):
+            occ, recs = merge(partials(rows, cuts))
+            assert {(t, occ[t], recs[t]) for t in occ} == {w[:3] for w in want}, cuts
+
+
+def test_last_seen_counters_hold_three_numbers():
+    c = terms._Counters()
+    for texts in (["a b a", "a c"], ["a a"], ["b"]):
+        c.record(texts)
+    assert c.seen == {"a": [5, 2, 2], "b": [2, 2, 3], "c": [1, 1, 1]}
+
+
+def test_one_text_delivered_over_many_partitions(spark):
+    rows = [(7, "hot text again again")] * 3000 + [(i, "cold text") for i in range(20, 40)]
+    df = spark.createDataFrame(rows, "event_id long, abstract string").repartition(8)
+    got = {(r.term, r.occurrences, r.records, r.mark) for r in terms.term_frequencies(df).collect()}
+    assert got == brute(rows)
 
 
 def test_one_record_over_many_partitions(spark):
