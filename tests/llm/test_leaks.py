@@ -53,10 +53,36 @@ def test_copies_long_texts_and_pieces(spark, monkeypatch):
     assert found(spark, [(1, long + ITEM + long), (2, ITEM), (3, ITEM), (3, ITEM)]) == {(1, 1), (2, 1), (3, 1)}
 
 
-def test_shards_give_the_same(spark):
-    docs = [(1, FILL + ITEM), (2, OTHER + FILL), (3, FILL)]
-    its = [(i, f"s{i}", t) for i, _, t in items()]
-    assert found(spark, docs, its, shard_chars=100) == found(spark, docs, its) == {(1, 1), (2, 2)}
+def test_both_ways_give_the_same(spark):
+    """Fingerprints sent to the tasks, or joined: a suite of any size keeps its instruction."""
+    w = ITEM.split()
+    docs = [(1, FILL + ITEM), (2, OTHER + FILL), (3, FILL), (4, FILL + " ".join(w[:13]) + FILL + " ".join(w[11:])), (5, FILL + TASK + FILL), (5, ITEM), (6, " ".join(w[: len(w) * 6 // 10])), (7, "日本語の短い設問です。"), (8, TASK)]
+    its = items([(50, "kurz", "日本語の短い設問"), (51, "kurz", "日本語"), (52, "quiz", TASK + OTHER), (1, "quiz", TASK + ITEM)])
+    want = {(1, 1), (2, 2), (2, 52), (4, 1), (5, 1), (6, 1), (7, 50)}
+    assert found(spark, docs, its) == want
+    for chars in (0, 600):
+        assert found(spark, docs, its, broadcast_chars=chars) == want
+    assert found(spark, docs, [], broadcast_chars=-1) == set() and found(spark, [], its, broadcast_chars=0) == set()
+
+
+def test_shares_of_both_ways_are_equal(spark):
+    rng = random.Random(8)
+    words = [f"{chr(97 + i % 26)}{chr(97 + i * 7 % 26)}{'xyz'[i % 3]}tor" for i in range(300)]
+    its = [(i, "s", " ".join(rng.choices(words, k=rng.randrange(1, 30)))) for i in range(40)]
+    docs = []
+    for i in range(60):
+        t = rng.choice(its)[2].split()
+        a = rng.randrange(len(t))
+        docs.append((i, " ".join(rng.choices(words, k=20)) + " " + " ".join(t[a : a + rng.randrange(1, 30)]) + " " + " ".join(rng.choices(words, k=20))))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = spark.createDataFrame(its, "item_id long, suite string, text string")
+    got = [{(r.doc_id, r.item_id, round(r.share, 9)) for r in leaks.leaked_items(d, t, broadcast_chars=n).collect()} for n in (10**9, 0)]
+    assert got[0] == got[1] and len(got[0]) > 5
+
+
+def test_items_that_cannot_be_looked_for_are_listed(spark):
+    t = spark.createDataFrame([(1, "s", "日本語"), (2, "s", "日本語の短い設問"), (3, "s", None), (4, "s", ITEM)], "item_id long, suite string, text string")
+    assert {(r.item_id, r.letters) for r in leaks.unsearchable(t).collect()} == {(1, 3), (3, 0)}
 
 
 def test_empty_tables_and_clashes(spark):
