@@ -10,9 +10,10 @@ pair equal, a truncation marked by a dot, a spelling variant, or one edit apart.
 Names are compared as runs of letters and digits.  Spacing, case, dashes and underscores do
 not matter; numbers, years and plus signs must be equal, since items differ by them.
 
-Distinct values are mapped once each.  The canonical list goes to the tasks in shards of at
-most ``SHARD`` names; beyond one shard the values are read once per shard and the best
-answer is kept, so the list may have any size.
+Distinct values are mapped once each.  A list of at most ``SHARD`` names goes to the tasks as a whole.
+A longer one is cut into shards, and every shard returns all that it found in a value: each match with its
+place and length, each similar item with its cost.  Overlaps and ties are settled over what all
+shards found, so the cut changes nothing.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.session import fan_out
+from papyrine.session import bounded_rows, cut, fan_out
 
 #: Names of the canonical list that go to a task at once.
 SHARD = 200_000
@@ -131,8 +132,8 @@ class Names:
         if self.any:
             self.machine.make_automaton()
 
-    def mentions(self, t: list[str]) -> list[tuple[int, int, tuple[int, ...]]]:
-        """(first token, token after the last, items) of the longest non-overlapping matches."""
+    def matches(self, t: list[str]) -> list[tuple[int, int, int, int]]:
+        """(first token, token after the last, letters, ref_id) of every match."""
         words = [_letters(x) for x in t]
         starts, ends, at = {}, {}, 0
         for k, w in enumerate(words):
@@ -143,31 +144,11 @@ class Names:
         for end, (length, who) in self.machine.iter("".join(words)):
             a, b = starts.get(end + 1 - length), ends.get(end + 1)
             if a is not None and b is not None and a < b:
-                found.append((a, b, who, length))
-        found.sort(key=lambda m: (-m[3], m[0]))
-        taken, out = set(), []
-        for a, b, who, _ in found:
-            if not any(k in taken for k in range(a, b)):
-                taken.update(range(a, b))
-                out.append((a, b, who))
-        return sorted(out)
-
-    def embedded(self, t: list[str]) -> int | None:
-        """The item that the value mentions, if nothing around the mention changes its meaning."""
-        found = self.mentions(t)
-        if not found:
-            return None
-        covered = {k for a, b, _ in found for k in range(a, b)}
-        rest = [_letters(t[k]) for k in range(len(t)) if k not in covered]
-        if any(w not in NEUTRAL for w in rest):
-            return None
-        who = set(found[0][2])
-        for _, _, w in found[1:]:
-            who &= set(w)
-        return min(who, key=lambda i: self.ids[i]) if len(who) == 1 else None
-
-    def similar(self, t: list[str]) -> int | None:
-        """The one item whose words pair off with the value's words."""
+                found += [(a, b, length, self.ids[i]) for i in who]
+        return found
+
+    def similar(self, t: list[str]) -> list[tuple[int, int]]:
+        """(cost, ref_id) of the items whose words pair off with the value's words."""
         core = list(t)
         while len(core) > 1 and _letters(core[0]) in _HEAD:
             core.pop(0)
@@ -177,18 +158,14 @@ class Names:
         for w in core:
             near |= self.by_word.get(_letters(w), set())
         whole = "".join(_letters(w) for w in core)
-        for k in _drops(whole):
+        for k in _drops(whole, True):
             near |= self.by_drop.get(k, set())
         best: list[tuple[int, int]] = []
         for i in near:
             cost = self._cost(core, whole, i)
             if cost is not None:
                 best.append((cost, i))
-        if not best:
-            return None
-        least = min(c for c, _ in best)
-        first = {self.ids[i] for c, i in best if c == least}
-        return next(i for c, i in best if c == least) if len(first) == 1 else None
+        return [(cost, self.ids[i]) for cost, i in best]
 
     def _cost(self, core: list[str], whole: str, i: int) -> int | None:
         item = self.tokens[i]
@@ -218,26 +195,94 @@ def _marks(s: str) -> list[str]:
     return re.findall(r"[\d.]+|\++", s)
 
 
-def _drops(s: str) -> set[str]:
-    return {s} | {s[:i] + s[i + 1 :] for i in range(len(s))} if len(s) <= 40 else {s}
+#: Longer names are looked up by pieces instead of dropped letters.
+DROP_CHARS = 40
+
+
+def _drops(s: str, asked: bool = False) -> set[str]:
+    """Strings of which names one edit apart share one, a name of the list with a value that is ``asked``.
+
+    A short name gives itself with each letter dropped.  Of a long one three pieces are taken: an
+    edit, or a swap of neighbours, leaves one whole, a place off at most.
+    """
+    out = {s} | {s[:i] + s[i + 1 :] for i in range(len(s))} if len(s) <= DROP_CHARS + asked else set()
+    if len(s) >= DROP_CHARS:
+        for length in range(len(s) - 1, len(s) + 2) if asked else (len(s),):
+            for k in range(3):
+                a, b = k * length // 3, (k + 1) * length // 3
+                out |= {f"{length} {k} {s[max(0, a + i) : b + i]}" for i in ((-1, 0, 1) if asked else (0,))}
+    return out
 
 
 # What people write when they name nothing in particular (fixed values).
 _NOTHING = frozenset("n/a na none null unknown unspecified -- - ? tbd various other".split())
 
 
+def longest(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, tuple[int, ...]]]:
+    """(first token, token after the last, ref_ids) of the longest matches that do not overlap."""
+    owners: dict[tuple[int, int, int], set[int]] = defaultdict(set)
+    for a, b, length, ref in found:
+        owners[-length, a, b].add(ref)
+    taken, out = set(), []
+    for place, who in sorted(owners.items()):
+        _, a, b = place
+        if not any(k in taken for k in range(a, b)):
+            taken.update(range(a, b))
+            out.append((a, b, tuple(sorted(who))))
+    return sorted(out)
+
+
+def embedded(t: list[str], found: list[tuple[int, int, int, int]]) -> int | None:
+    """The item that the value mentions, if nothing around the mentions changes their meaning."""
+    told = longest(found)
+    if not told:
+        return None
+    covered = {k for a, b, _ in told for k in range(a, b)}
+    if any(_letters(t[k]) not in NEUTRAL for k in range(len(t)) if k not in covered):
+        return None
+    who = set(told[0][2]).intersection(*(w for _, _, w in told[1:]))
+    return who.pop() if len(who) == 1 else None
+
+
+def settle(t: list[str], found: list[tuple[int, int, int, int]], near: list[tuple[int, int]]) -> tuple[int, str]:
+    """(ref_id, how) of a value from all matches and similar items; how is 'mention', 'similar' or 'none'."""
+    if (ref := embedded(t, found)) is not None:
+        return ref, "mention"
+    if near:
+        least = min(near)[0]
+        first = {ref for cost, ref in near if cost == least}
+        if len(first) == 1:
+            return first.pop(), "similar"
+    return 0, "none"
+
+
+def read(value: str) -> list[str]:
+    """The tokens of a value that may name something."""
+    return [] if value.strip().lower() in _NOTHING else tokens(value)
+
+
 def item_of(names: Names, value: str) -> tuple[int, str]:
-    """(ref_id, how): how is 'mention', 'similar' or 'none'; ref_id is 0 for none."""
-    if not names.any or value.strip().lower() in _NOTHING:
-        return 0, "none"
-    t = tokens(value)
-    if not t:
+    """(ref_id, how) of a value and a whole list; ref_id is 0 for none."""
+    t = read(value)
+    if not t or not names.any:
         return 0, "none"
-    if (i := names.embedded(t)) is not None:
-        return names.ids[i], "mention"
-    if (i := names.similar(t)) is not None:
-        return names.ids[i], "similar"
-    return 0, "none"
+    found = names.matches(t)
+    return settle(t, found, names.similar(t) if embedded(t, found) is None else [])
+
+
+_HELD: dict[tuple[str, int], dict[str, Names]] = {}
+
+
+def _machines(held, key: tuple[str, int]) -> dict[str, Names]:
+    """The automata of a shard by kind; a worker builds them once, and keeps those of one shard."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = {k: Names(items) for k, items in held.value.items()}
+    return _HELD[key]
+
+
+_FOUND = "array<struct<a:int,b:int,length:int,ref:long>>"
+_NEAR = "array<struct<cost:int,ref:long>>"
 
 
 def map_values(values: DataFrame, reference: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -247,49 +292,59 @@ def map_values(values: DataFrame, reference: DataFrame, shard: int = SHARD) -> D
     list maps everything to 0; an item given twice counts once; ties between items give 0.
     """
     distinct = values.select("kind", "name").where("kind is not null and name is not null").distinct()
-    items = reference.select("ref_id", "kind", "name", "acronym").where("ref_id is not null and kind is not null and name is not null").distinct().orderBy("ref_id", "name")
-    schema = "kind string, name string, ref_id long, how string"
+    items = reference.select(F.col("ref_id").cast("long").alias("ref_id"), "kind", "name", "acronym").where("ref_id is not null and kind is not null and name is not null").distinct()
+    sc = values.sparkSession.sparkContext
+    nothing = Names([])
 
-    def shards() -> Iterator[dict[str, list]]:
+    def broadcast(rows) -> tuple:
         part: dict[str, list] = defaultdict(list)
-        n = 0
-        for r in items.toLocalIterator():
+        for r in rows:
             part[r.kind].append((r.ref_id, r.name, r.acronym))
-            n += 1
-            if n == shard:
-                yield part
-                part, n = defaultdict(list), 0
-        if n:
-            yield part
-
-    sc = values.sparkSession.sparkContext
-    parts = []
-    for part in shards() or []:
         held = sc.broadcast(dict(part))
+        return held, (sc.applicationId, held._jbroadcast.id() if held._jbroadcast is not None else id(held))
+
+    rows = bounded_rows(items, shard)
+    if rows is not None:
+        held, key = broadcast(rows)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            machines: dict[str, Names] = {}
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machines = _machines(held, key)
             for b in batches:
-                kinds, names = b.column(0).to_pylist(), b.column(1).to_pylist()
-                got = []
-                for k, n in zip(kinds, names):
-                    if k not in machines:
-                        machines[k] = Names(held.value.get(k, []))
-                    got.append(item_of(machines[k], n))
+                got = [item_of(machines.get(k, nothing), n) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())], names=["kind", "name", "ref_id", "how"])
 
         # names are few bytes but costly to read, so they are spread by cores
-        parts.append(fan_out(distinct).mapInArrow(run, schema))
-    if not parts:
-        return distinct.select("kind", "name", F.lit(0).cast("long").alias("ref_id"), F.lit("none").alias("how"))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    ranked = every.groupBy("kind", "name").agg(F.max(F.struct(F.when(F.col("how") == "mention", 2).when(F.col("how") == "similar", 1).otherwise(0).alias("r"), -F.col("ref_id"), "how")).alias("m"), F.count_distinct(F.when(F.col("how") == "similar", F.col("ref_id"))).alias("ties"))
-    clear = (F.col("m.r") != 1) | (F.col("ties") == 1)
-    return ranked.select("kind", "name", F.when(clear, -F.col("m.col2")).otherwise(0).cast("long").alias("ref_id"), F.when(clear, F.col("m.how")).otherwise("none").alias("how"))
+        return fan_out(distinct).mapInArrow(run, "kind string, name string, ref_id long, how string")
+
+    # shards by hash of the name, so that one at a time is held anywhere, the driver included
+    items, distinct = cut(items), cut(fan_out(distinct))
+    shards = -(-items.count() // shard)
+    every = None
+    for i in range(shards):
+        held, key = broadcast(items.where(F.pmod(F.xxhash64("kind", "name"), F.lit(shards)) == i).collect())
+
+        def part(batches: Iterator[pa.RecordBatch], held=held, key=key) -> Iterator[pa.RecordBatch]:
+            machines = _machines(held, key)
+            for b in batches:
+                found, near = [], []
+                for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    names, t = machines.get(k, nothing), read(n)
+                    found.append([dict(zip(("a", "b", "length", "ref"), m)) for m in names.matches(t)] if t and names.any else [])
+                    near.append([dict(zip(("cost", "ref"), m)) for m in names.similar(t)] if t and names.any else [])
+                types = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("length", pa.int32()), ("ref", pa.int64())])), pa.list_(pa.struct([("cost", pa.int32()), ("ref", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, types[0]), pa.array(near, types[1])], names=["kind", "name", "found", "near"])
+
+        told = distinct.mapInArrow(part, f"kind string, name string, found {_FOUND}, near {_NEAR}").where("size(found) > 0 or size(near) > 0")
+        every = told if every is None else every.union(told)
+    merged = every.groupBy("kind", "name").agg(F.flatten(F.collect_list("found")).alias("found"), F.flatten(F.collect_list("near")).alias("near"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [settle(read(n), [tuple(m.values()) for m in f], [tuple(m.values()) for m in c]) for n, f, c in zip(*(c.to_pylist() for c in b.columns[1:]))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())], names=["kind", "name", "ref_id", "how"])
+
+    settled = merged.mapInArrow(finish, "kind string, name string, ref_id long, how string")
+    return distinct.join(settled, ["kind", "name"], "left").select("kind", "name", F.coalesce("ref_id", F.lit(0)).alias("ref_id"), F.coalesce("how", F.lit("none")).alias("how"))
 
 
 def free_names(facts: DataFrame) -> DataFrame:

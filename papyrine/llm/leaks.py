@@ -77,7 +77,7 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base and its inverse modulo 2**64 to the powers 0 .. n - 1, kept between calls."""
     global _POWERS
     if len(_POWERS[0]) < n:
@@ -94,7 +94,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def prefix_sums(codes: np.ndarray) -> np.ndarray:
     """Running polynomial sums modulo 2**64, from which runs of any length are hashed."""
     out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * _powers(max(1, len(codes)))[0], out=out[1:])
+    np.cumsum(codes * powers(max(1, len(codes)))[0], out=out[1:])
     return out
 
 
@@ -105,7 +105,7 @@ def gram_hashes(codes: np.ndarray, n: int, sums: np.ndarray | None = None) -> np
         return np.empty(0, np.uint64)
     sums = prefix_sums(codes) if sums is None else sums
     out = sums[n:] - sums[:count]
-    out *= _powers(count)[1]
+    out *= powers(count)[1]
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(32)

@@ -2,21 +2,23 @@
 
 Method: pivotal dependent rounding.  A source with ``t`` tokens that should contribute ``w``
 of a budget of ``T`` tokens is taken ``r = min(max_repeats, w * T / t)`` times.  Every record
-gets ``floor(r)`` copies; the fraction that is left is rounded by the pivotal method: two
-records meet, probability moves at random from one to the other until one of them is 0 or
-1, and the other one meets the next record.  The expected copies of every record are kept
-exactly, and so, up to one record, is their sum.  Records meet in order of size, so the
-sum of tokens is kept as well.
-
-The rounding is a reduction tree: each task settles its own records and hands on one
-unsettled record per source; a level above, a task takes the records of ``FAN_IN`` tasks,
-and so on to the root, where one record per source is drawn.  Records are spread by
+gets ``floor(r)`` copies; the fraction that is left is rounded by the pivotal method: a record
+meets those after it, and tokens move at random between it and them until its probability is 0 or
+1.  The expected copies of every record are kept exactly, and so is the sum of *tokens*.  Records
+meet from the largest to the smallest, and a record meets as many smaller ones as it takes to settle it,
+so what is left in the end, and cannot be kept, is among the smallest records of its source.
+
+The rounding is a reduction tree: each task settles its own records and hands on the few
+smallest of each source, which have no partners left; a level above, a task takes those of ``FAN_IN``
+tasks, and so on to the root, where the last record of a source is drawn.  Records are spread by
 a hash of their identifier, so a source that holds a third of all rows is spread too.
 """
 
 from __future__ import annotations
 
 import base64
+import itertools
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +35,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Unsettled sets that meet in one task of the level above.
 FAN_IN = 16
+#: Most records that one record meets at once.
+PARTNERS = 256
 #: Most sources that a mixture may name; the plan of a mixture is a small table.
 MOST_SOURCES = 100_000
 #: Characters that are encoded at once; longer texts are cut before a space.
@@ -65,11 +69,18 @@ def count_tokens(text: str, vocabulary: str = VOCABULARY) -> int:
 
 def token_sizes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc, source, tokens); the source in lower case with dashes, as people type it in many ways."""
+    import os
+
+    from pyspark import SparkFiles
+
     kind = documents.schema[doc_id].dataType.simpleString()
+    documents.sparkSession.sparkContext.addFile(vocabulary)  # executors need not have it
+    name = os.path.basename(vocabulary)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = SparkFiles.get(name)
         for b in batches:
-            counts = [count_tokens(t, vocabulary) if t else 0 for t in b.column(2).to_pylist()]
+            counts = [count_tokens(t, path) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], names=["doc", "source", "tokens"])
 
     rows = documents.select(F.col(doc_id).alias("doc"), _slug(F.col(source)).alias("source"), F.col(text).alias("text")).where("doc is not null")
@@ -87,38 +98,75 @@ def _uniform(seed: int, a: object, b: object) -> float:
 _ZERO = 1e-9
 
 
-def pivot(rows: list[tuple], seed: int) -> tuple[list[int], int | None, float]:
-    """Settle (id, probability) in the order given.
+class Rounding:
+    """Settles the records of one source, which come from the largest to the smallest.
 
-    Returns 0 or 1 for each (the unsettled one has 0), the place of the record left unsettled,
-    if any, and its probability.
+    A record is (row, tokens, probability).  ``window`` holds the records that are not settled;
+    settled ones are appended to ``done`` as (row, 0 or 1).
     """
-    settled = [0] * len(rows)
-    held, p = None, 0.0
-    for i, (key, q) in enumerate(rows):
-        if q <= _ZERO or q >= 1 - _ZERO:
-            settled[i] = int(q >= 0.5)
-            continue
-        if held is None:
-            held, p = i, q
-            continue
-        u = _uniform(seed, rows[held][0], key)
-        total = p + q
-        if total <= 1:  # one of them drops to 0
-            if u * total < q:
-                held = i
-            p = total
-        else:  # one of them rises to 1
-            if u * (2 - total) < 1 - q:
-                settled[held] = 1
-                held = i
-            else:
-                settled[i] = 1
-            p = total - 1
+
+    def __init__(self, seed: int):
+        self.seed, self.window, self.done = seed, deque(), []
+
+    def add(self, row: tuple, tokens: int, p: float) -> None:
         if p <= _ZERO or p >= 1 - _ZERO:
-            settled[held] = int(p >= 0.5)
-            held, p = None, 0.0
-    return settled, held, p
+            self.done.append((row, int(p >= 0.5)))
+        elif tokens <= 0:  # no tokens to move
+            self.done.append((row, int(_uniform(self.seed, row[0], "alone") < p)))
+        else:
+            self.window.append([row, tokens, p])
+            if len(self.window) > PARTNERS and not self._meet():
+                self._pair()
+
+    def _drop_settled(self, most: int) -> None:
+        rest = [self.window.popleft() for _ in range(min(most, len(self.window)))]
+        for r in reversed(rest):
+            if r[2] <= _ZERO or r[2] >= 1 - _ZERO:
+                self.done.append((r[0], int(r[2] >= 0.5)))
+            else:
+                self.window.appendleft(r)
+
+    def _meet(self) -> bool:
+        """Settle the first record against as many of the next as can take or give all it needs."""
+        row, size, p = self.window[0]
+        need, held, partners = size * max(p, 1 - p), 0.0, []
+        for other in itertools.islice(self.window, 1, None):
+            free = other[1] * min(other[2], 1 - other[2])
+            partners.append((other, free))
+            held += free
+            if held >= need:
+                break
+        else:
+            return False
+        up = _uniform(self.seed, row[0], "up") < p
+        move = size * (1 - p) if up else -size * p
+        for other, free in partners:
+            other[2] -= move * free / held / other[1]
+        self.window.popleft()
+        self.done.append((row, int(up)))
+        self._drop_settled(len(partners))
+        return True
+
+    def _pair(self) -> None:
+        """Move tokens between the first two records until one of them is settled."""
+        a, b = self.window[0], self.window[1]
+        gain, loss = min(a[1] * (1 - a[2]), b[1] * b[2]), min(a[1] * a[2], b[1] * (1 - b[2]))  # what can move to and from the first
+        move = gain if _uniform(self.seed, a[0][0], b[0][0]) * (gain + loss) < loss else -loss
+        a[2], b[2] = a[2] + move / a[1], b[2] - move / b[1]
+        self._drop_settled(2)
+
+    def close(self, root: bool) -> list[tuple]:
+        """The (row, probability) left without partners; at the root none, the last one is drawn."""
+        while len(self.window) > 1 and self._meet():
+            pass
+        while root and len(self.window) > 1:
+            self._pair()
+        if root:
+            self.done += [(row, int(_uniform(self.seed, row[0], "root") < p)) for row, _, p in self.window]
+            self.window.clear()
+        left = [(row, p) for row, _, p in self.window]
+        self.window.clear()
+        return left
 
 
 def _level(types: list, seed: int, root: bool):
@@ -127,32 +175,22 @@ def _level(types: list, seed: int, root: bool):
     names = ["doc", "source", "tokens", "copies", "p"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}  # one unsettled row per source, over batches
+        at, rounding = None, Rounding(seed)
+
+        def out(left: list[tuple] = ()) -> Iterator[pa.RecordBatch]:
+            rows = [(*r[:3], r[3] + d, None) for r, d in rounding.done] + [(*r[:4], p) for r, p in left]
+            rounding.done.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
         for batch in batches:
-            rows = list(zip(*[c.to_pylist() for c in batch.columns]))
-            out = []
-            groups: dict[str, list] = {}
-            for r in rows:
-                if r[4] is None:
-                    out.append(r)
-                else:
-                    groups.setdefault(r[1], []).append(r)
-            for source, group in groups.items():
-                if source in held:
-                    group.insert(0, held.pop(source))
-                done, left, p = pivot([(r[0], r[4]) for r in group], seed)
-                for i, r in enumerate(group):
-                    if i == left:
-                        held[source] = (*r[:4], p)
-                    else:
-                        out.append((*r[:3], r[3] + done[i], None))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
-        last = list(held.values())
-        if root:
-            last = [(*r[:3], r[3] + int(_uniform(seed, r[0], "root") < r[4]), None) for r in last]
-        if last:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*last), types)], names=names)
+            for r in zip(*[c.to_pylist() for c in batch.columns]):
+                if r[1] != at:
+                    yield from out(rounding.close(root))
+                    at = r[1]
+                rounding.add(r, r[2], r[4])
+            yield from out()
+        yield from out(rounding.close(root))
 
     return run
 
@@ -169,9 +207,12 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
 
     * Records without a source, or of a source that is not named, take no part.
     * A source is short when ``max_repeats`` copies of all it holds are less than its share; the
-      others keep their shares of the budget.  A named source without tokens is short in whole.
+      others keep their shares of the budget, so the total falls by what is missing and their actual
+      shares lie above the target by that factor.  A named source without tokens is short in whole.
+    * Every source that is not short gets its share of the budget up to one of its smaller records; a
+      short one gets exactly ``max_repeats`` copies of all it holds, if that is a whole number.
     * A target row given twice counts once; null shares and repeats count as 0 and 1.
-    * Records of no tokens follow the others of their source.  Empty tables give empty frames.
+    * Records of no tokens are drawn one by one.  Empty tables give empty frames.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -201,18 +242,18 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     open_ = sizes.join(repeats, "source").select(
         "doc", "source", "tokens", F.floor("planned_repeats").cast("long").alias("copies"), (F.col("planned_repeats") - F.floor("planned_repeats")).alias("p")
     )
-    level = open_.withColumn("task", F.pmod(F.xxhash64("doc"), F.lit(tasks)))
+    level = open_
     done = None
     while True:
         root = tasks == 1
-        sorted_ = level.repartition(tasks, "task").sortWithinPartitions("source", "tokens", F.xxhash64("doc"), "doc")
+        sorted_ = level.repartition(tasks, "doc").sortWithinPartitions("source", F.desc("tokens"), F.xxhash64("doc"), "doc")
         settled = cut(sorted_.select("doc", "source", "tokens", "copies", "p").mapInArrow(_level(types, seed, root), schema))
         part = settled.where("p is null").drop("p")
         done = part if done is None else done.union(part)
         if root:
             break
         tasks = -(-tasks // FAN_IN)
-        level = settled.where("p is not null").withColumn("task", F.pmod(F.xxhash64("doc"), F.lit(tasks)))
+        level = settled.where("p is not null")
     taken = done.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("selected_tokens"))
     report = plan.join(taken, "source", "left").withColumn("selected_tokens", F.coalesce("selected_tokens", F.lit(0)))
     everything = report.agg(F.sum("selected_tokens").alias("everything"))

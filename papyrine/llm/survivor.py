@@ -17,9 +17,14 @@ and Spark's group limit keeps one of them per task before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.llm.leaks import powers, prefix_sums
 from papyrine.operators.components import components
 from papyrine.session import cut, fan_out
 
@@ -28,8 +33,8 @@ FIELDS = ("abstract", "decision", "openreview_id", "presentation", "topic_raw")
 TRUST = ("main-feed", "virtual-site", "mirror", "archive")
 #: Edits between the titles of a listed pair, at most.
 LISTED_EDITS = 6
-#: Longer titles are keyed as they are, without dropped characters.
-KEYED_CHARS = 300
+#: Keys that a task hands over at once.
+KEYS = 200_000
 
 # What people put where a value is missing (fixed values).
 STAND_INS = (
@@ -104,6 +109,52 @@ def latest_deliveries(papers: DataFrame) -> DataFrame:
     return papers.where("event_id is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def one_drop_hashes(text: str) -> np.ndarray:
+    """Distinct hashes of a text and of all strings that one dropped character leaves of it.
+
+    They are taken from running sums, so a text of any length costs its length.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = _mixed(codes + np.uint64(1))
+    sums = prefix_sums(codes)
+    back = np.uint64(powers(2)[1][1])
+    return np.unique(_mixed(np.append(sums[:-1] + (sums[-1] - sums[1:]) * back, sums[-1])))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0x7FB5D329728EA185)
+    x = x ^ (x >> np.uint64(27))
+    return x * np.uint64(0x81DADEF4BC2DD44D)
+
+
+def _title_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(event_id, key) of every title under each of its frames (edition, part and one surname)."""
+    owners: list[np.ndarray] = []
+    keys: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), pa.array(np.concatenate(keys))], names=["event_id", "key"])
+        owners.clear()
+        keys.clear()
+        return out
+
+    held = 0
+    for b in batches:
+        for event, frames, title in zip(*(c.to_pylist() for c in b.columns)):
+            hashes = one_drop_hashes(title)
+            for f in frames:
+                found = _mixed(hashes ^ np.uint64(f % (1 << 64))).view(np.int64)
+                owners.append(np.full(len(found), event))
+                keys.append(found)
+                held += len(found)
+            if held >= KEYS:
+                yield flush()
+                held = 0
+    if keys:
+        yield flush()
+
+
 def entry_groups(entries: DataFrame) -> DataFrame:
     """(event_id, group_id) for every entry, one row each; group_id is the smallest entry."""
     e = cut(
@@ -120,19 +171,12 @@ def entry_groups(entries: DataFrame) -> DataFrame:
     by_id = e.where("submission is not null").select("event_id", F.xxhash64(F.lit("id"), "edition", "submission").alias("key"))
 
     # exact copies of title and authors are one node from here on, so only distinct ones are keyed
-    who = F.explode("names").alias("name")
     twins = e.where("title <> ''").select("event_id", F.xxhash64("edition", "title", "part", F.array_sort("names")).alias("twin"), "edition", "part", "title", "names")
     by_twin = twins.select("event_id", F.xxhash64(F.lit("twin"), "twin").alias("key"))
     alone = twins.groupBy("twin").agg(F.min("event_id").alias("event_id"), F.first("edition").alias("edition"), F.first("part").alias("part"), F.first("title").alias("title"), F.first("names").alias("names"))
-    short = F.length("title") <= KEYED_CHARS
-    dropped = F.transform(
-        F.when(short, F.sequence(F.lit(1), F.length("title"))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.xxhash64(F.concat(F.substring(F.col("title"), F.lit(1), i - 1), F.substring(F.col("title"), i + 1, F.lit(KEYED_CHARS)))),
-    )
-    variants = F.array_distinct(F.concat(F.array(F.xxhash64("title")), dropped))
     # every title becomes dozens of keys: spread the work by cores, not by the few bytes that titles have
-    keyed = fan_out(alone).select("event_id", "edition", "part", variants.alias("variants"), who).select("event_id", "edition", "part", "name", F.explode("variants").alias("variant"))
-    by_title = keyed.select("event_id", F.xxhash64(F.lit("title"), "edition", "part", "name", "variant").alias("key"))
+    frame = F.concat_ws("|", "edition", "part")
+    by_title = fan_out(alone).select("event_id", F.transform("names", lambda n: F.xxhash64(F.lit("title"), frame, n)).alias("frames"), "title").mapInArrow(_title_keys, "event_id long, key long")
 
     # listed pairs, checked
     side = e.select(F.col("event_id").alias("other"), F.col("edition").alias("edition2"), F.col("title").alias("title2"), F.col("names").alias("names2"), F.col("part").alias("part2"))

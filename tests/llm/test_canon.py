@@ -54,7 +54,7 @@ def test_automaton_against_brute_force(names):
     pieces = [n for _, n, _ in DATASETS] + ["the", "and", "OBSR", "x1", "Dihopivi", "-10", "+", "2024"]
     for _ in range(300):
         t = canon.tokens(" ".join(rng.choices(pieces, k=rng.randrange(1, 7))))
-        got = [(a, b, tuple(sorted(names[0].ids[i] for i in who))) for a, b, who in names[0].mentions(t)]
+        got = canon.longest(names[0].matches(t))
         assert got == brute_mentions(DATASETS, t)
 
 
@@ -86,3 +86,28 @@ def test_ties_give_nothing():
     n = canon.Names([(1, "Abcdef-QA", None), (2, "Abcdeg-QA", None)])
     assert canon.item_of(n, "Abcdeh-QA") == (0, "none")
     assert canon.item_of(n, "Abcdef QA")[0] == 1
+
+
+def test_shards_settle_overlaps_and_ties(spark):
+    """The longest match and ties are those of the whole list, wherever it is cut."""
+    items = [(1, "ABC", None), (2, "ABC dataset", None), (3, "Foo Bar Quux", "FBQ"), (4, "Fast Binary Query", "FBQ"), (5, "Abcdef-QA", None), (6, "Abcdeg-QA", None), (7, "x" * 20 + " " + "longname" * 5, None)]
+    values = ["the ABC dataset", "ABC", "FBQ", "Foo Bar Quux (FBQ)", "Abcdeh-QA", "Abcdef QA", "nothing", "ABC and Foo Bar Quux", "x" * 20 + " " + "longname" * 4 + "longanme", ""]
+    v = spark.createDataFrame([("dataset", x) for x in values], "kind string, name string")
+    r = spark.createDataFrame([(i, "dataset", n, a) for i, n, a in items], REF)
+    whole = {x.name: (x.ref_id, x.how) for x in canon.map_values(v, r).collect()}
+    assert whole["the ABC dataset"][0] == 2 and whole["FBQ"][0] == 0 and whole["Foo Bar Quux (FBQ)"][0] == 3 and whole["Abcdeh-QA"][0] == 0 and whole[values[8]][0] == 7
+    for shard in (1, 2, 3):
+        assert {x.name: (x.ref_id, x.how) for x in canon.map_values(v, r, shard=shard).collect()} == whole
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_one_edit_is_found_at_any_length(seed):
+    """Brute force: names one edit apart share a key, short, long, and around the limit."""
+    import random
+
+    rng = random.Random(seed)
+    for _ in range(300):
+        a = "".join(rng.choices("abcd", k=rng.choice([6, 20, 38, 39, 40, 41, 42, 43, 55, 200])))
+        i, c = rng.randrange(len(a) - 1), rng.choice("abcd")
+        b = rng.choice([a[:i] + a[i + 1 :], a[:i] + c + a[i:], a[:i] + c + a[i + 1 :], a[:i] + a[i + 1] + a[i] + a[i + 2 :], a])
+        assert canon.one_edit(a, b) and canon._drops(a) & canon._drops(b, True), (a, b)

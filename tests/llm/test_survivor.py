@@ -96,3 +96,28 @@ def test_usable(spark):
         assert got[v] is ok, v
     d = spark.createDataFrame([("-",), ("Accept",), (" tbd ",), ("",)], "decision string").select(F.collect_list(S.usable("decision"))).first()[0]
     assert d == [False, True, False, False]
+
+
+def test_titles_of_any_length_are_keyed(spark):
+    for n in (200, 373, 3000):
+        title = "".join(chr(97 + i * i % 23) for i in range(n))
+        other = title[: n // 2] + "z" + title[n // 2 + 1 :]
+        swapped = title[: n // 3] + title[n // 3 + 1] + title[n // 3] + title[n // 3 + 2 :]
+        g = groups(spark, [row(1, title), row(2, other), row(3, swapped), row(4, other[:-1] + "yy")])
+        assert g == {1: 1, 2: 1, 3: 1, 4: 4}, n
+
+
+def test_one_drop_hashes_against_brute_force():
+    import random
+
+    rng = random.Random(2)
+    seen = {}
+    for _ in range(300):
+        t = "".join(rng.choices("ab日", k=rng.randrange(0, 9)))
+        strings = {t} | {t[:i] + t[i + 1 :] for i in range(len(t))}
+        hashes = S.one_drop_hashes(t)
+        assert len(hashes) == len(strings)
+        for x in strings:
+            seen.setdefault(x, []).append(set(hashes.tolist()))
+    for x, sets in seen.items():
+        assert set.intersection(*sets), x
