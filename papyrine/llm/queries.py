@@ -59,7 +59,7 @@ def p4_value_map(spark: SparkSession, d: str) -> DataFrame:
 
 def _preprints(spark: SparkSession, d: str) -> DataFrame:
     papers = table(spark, d, "papers").select("event_id", "title", "authors", "year")
-    return entity.preprints(papers, table(spark, d, "arxiv_index"))
+    return entity.preprints(papers, table(spark, d, "arxiv_index"), table(spark, d, "resolved"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +73,17 @@ def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
     return found.select("event_id", "arxiv_base", "confidence", F.when(F.col("earlier").isNull(), "new").when(F.col("earlier") == F.col("arxiv_base"), "same").otherwise("other").alias("beside_earlier"))
 
 
+def p5_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Per tenth of confidence, the pairs that an earlier run knows and the share on which both agree.
+
+    The earlier run's other half fitted the confidence; this half is held out.
+    """
+    known = entity.trusted_half(table(spark, d, "resolved"), held_out=True).withColumnRenamed("arxiv_base", "known")
+    tenth = F.least(F.lit(9), F.floor(F.col("confidence") * 10)).cast("int")
+    rows = _preprints(spark, d).join(known, "event_id").select(tenth.alias("tenth"), "confidence", (F.col("arxiv_base") == F.col("known")).cast("double").alias("agrees"))
+    return rows.groupBy("tenth").agg(F.count("*").alias("n_pairs"), F.round(F.avg("confidence"), 4).alias("confidence"), F.round(F.avg("agrees"), 4).alias("agreed"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return leaks.leaked_items(docs, table(spark, d, "eval_items")).select("doc_id", "item_id")

@@ -8,10 +8,12 @@ token similarity in which rare tokens count more.
    parts are taken off; kind words are recognised abbreviated, reordered and misspelt.
    Strings of equal kind and tokens are one *node*; its support is their number.
 2. A last part that follows many different places is a region, no campus, and is taken off.
-3. Nodes of one kind are joined on the q-grams of their tokens.  Grams are ordered from the
-   rarest, and only the prefix that a pair of the wanted similarity must share is joined, so
-   frequent grams never meet.  Candidates are verified token by token: every token must have
-   a near partner, weights are inverse node frequencies.
+3. The distinct tokens of all nodes are joined on their q-grams.  Grams are ordered from the rarest, and
+   only the prefix of which near tokens must share a gram is joined, at the same place up to the edits and
+   for lengths that allow them; the join is exact, and frequent grams hardly meet.  Nodes of one kind
+   are then looked up by their rarest token and the tokens near it, or, where a blank was lost or added, by all
+   tokens run together.  Candidates are verified token by token: every token must have a near partner,
+   weights are inverse node frequencies.
 4. A misspelt node has hardly any support of its own, a sister organisation has its
    own.  A near pair is linked only where one side is weak; weak nodes follow the strongest.
 5. Acronyms are resolved by glosses ("... (ABC)"), by known aliases, and by initials, where
@@ -35,9 +37,9 @@ from pyspark.sql import functions as F
 from papyrine.operators.components import components
 from papyrine.session import cut
 
-Q = 2
-#: Least share of common q-grams (Jaccard) of a candidate pair.
-GRAM_SIMILARITY = 0.34
+Q = 3
+#: Letters from which two edits of a token are forgiven instead of one, and below which none is.
+LONG_TOKEN, SHORT_TOKEN = 7, 4
 #: Least soft weighted token similarity of a linked pair.
 TOKEN_SIMILARITY = 0.72
 #: A node of at most so many spellings is weak, or one of this share of the other's.
@@ -227,9 +229,8 @@ def initials(kind: str, tokens: list[str]) -> list[str]:
     return out
 
 
-def _grams(text: str) -> list[str]:
-    s = f"\x02{text}\x03"
-    return sorted({s[i : i + Q] for i in range(len(s) - Q + 1)})
+def most_edits(letters: int) -> int:
+    return 2 if letters >= LONG_TOKEN else 1
 
 
 def soft_similarity(a: list[str], b: list[str], wa: list[float], wb: list[float], na: list[int], nb: list[int]) -> float:
@@ -248,7 +249,7 @@ def soft_similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]
         near = [(edits(t, b[j]), j) for j in left]
         d, j = min(near)
         long = min(len(t), len(b[j]))
-        if d > (2 if long >= 7 else 1) or (d and long < 4):
+        if d > most_edits(long) or (d and long < SHORT_TOKEN):
             return 0.0
         low, high = sorted((na[a.index(t)], nb[j]))
         if d and low > WEAK_SPELLINGS and low > WEAK_SHARE * high:
@@ -295,26 +296,53 @@ _READ = "name string, kind string, tokens array<string>, tail string, acronym st
 _WITH_CAMPUS = ["university", "college", "other", "acronym"]
 
 
+def near_tokens(words: DataFrame) -> DataFrame:
+    """(x, y), x < y, of all near tokens among distinct ``words.word``.
+
+    An edit destroys at most Q + 1 of a token's padded grams (a swap of neighbours does), so d edits leave
+    all but d (Q + 1), and the d (Q + 1) + 1 rarest grams of both tokens have one in common, at
+    most d places off.
+    """
+    letters = F.length("word")
+    padded = F.concat(F.lit("\x02" * (Q - 1)), F.col("word"), F.lit("\x03" * (Q - 1)))
+    cut_up = F.transform(F.sequence(F.lit(1), letters + Q - 1), lambda i: F.substring(padded, i, F.lit(Q)))
+    grams = words.where(letters >= SHORT_TOKEN).select("word", F.posexplode(cut_up).alias("pos", "gram"))
+    frequency = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    edits_of = F.when(letters >= LONG_TOKEN, 2).otherwise(1)
+    ordered = grams.join(frequency, "gram").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("n", "gram", "pos"))).alias("grams"))
+    prefix = ordered.select("word", edits_of.alias("d"), F.explode(F.slice("grams", 1, edits_of * (Q + 1) + 1)).alias("g")).select("word", "d", "g.gram", "g.pos")
+    left = prefix.select(F.col("word").alias("x"), "gram", F.explode(F.sequence(F.col("pos") - F.col("d"), F.col("pos") + F.col("d"))).alias("pos"))
+    right = prefix.select(F.col("word").alias("y"), "gram", "pos")
+    most = F.when(F.least(F.length("x"), F.length("y")) >= LONG_TOKEN, 2).otherwise(1)
+    pairs = left.join(right, ["gram", "pos"]).where((F.col("x") < F.col("y")) & (F.abs(F.length("x") - F.length("y")) <= most)).select("x", "y").distinct()
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [edits(x, y, 2) <= most_edits(min(len(x), len(y))) for x, y in zip(*(c.to_pylist() for c in b.columns))]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return pairs.mapInArrow(check, "x string, y string")
+
+
 def similar_nodes(nodes: DataFrame) -> DataFrame:
     """(a, b, sim) of near nodes of one kind; nodes has node, kind, tokens, spellings.  a < b."""
     n = nodes.where(F.size("tokens") > 0)
-    gram_list = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length("text") - (Q - 1)), lambda i: F.substring(F.col("text"), i, F.lit(Q)))
-    )
-    text = n.select("node", "kind", "tokens", F.concat(F.lit("\x02"), F.array_join("tokens", "\x03\x02"), F.lit("\x03")).alias("text"))
-    grams = text.select("node", "kind", F.explode(gram_list).alias("gram"))
-    frequency = grams.groupBy("kind", "gram").agg(F.count("*").alias("n"))
-    ordered = grams.join(frequency, ["kind", "gram"]).groupBy("node", "kind").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
-    # Jaccard s of sets x, y needs an overlap of s * |x| at least, so one gram of the first |x| - ceil(s |x|) + 1
-    size = F.size("grams")
-    prefix = F.slice("grams", 1, (size - F.ceil(F.lit(GRAM_SIMILARITY) * size) + 1).cast("int"))
-    listed = ordered.select("node", "kind", size.alias("size"), F.explode(prefix).alias("g")).select("node", "kind", "size", F.col("g.gram").alias("gram"))
-    right = listed.select(F.col("node").alias("b"), "kind", "gram", F.col("size").alias("size2"))
-    pairs = (
-        listed.withColumnRenamed("node", "a").join(right, ["kind", "gram"])
-        .where((F.col("a") < F.col("b")) & (F.col("size") >= GRAM_SIMILARITY * F.col("size2")) & (F.col("size2") >= GRAM_SIMILARITY * F.col("size")))
-        .select("a", "b").distinct()
+    count = F.size("tokens").alias("count")
+    each = n.select("node", "kind", count, F.explode(F.array_distinct("tokens")).alias("word"))
+    whole = n.select("node", "kind", count, F.array_join("tokens", "").alias("word"))
+    near = cut(near_tokens(each.select("word").union(whole.select("word")).distinct()))
+    near = near.union(near.select("y", "x"))
+    # the rarest token of a node, itself or a near one
+    df = each.groupBy("word").agg(F.count("*").alias("df"))
+    rarest = each.join(df, "word").groupBy("node", "kind", "count").agg(F.min_by("word", F.struct("df", "word")).alias("x"))
+    asked = rarest.join(near, "x").select("node", "kind", "count", F.col("y").alias("word")).union(rarest.select("node", "kind", "count", F.col("x")))
+    by_token = asked.withColumnRenamed("node", "a").join(each.withColumnRenamed("node", "b"), ["kind", "count", "word"]).select("a", "b")
+    # a blank lost or added
+    joint = whole.withColumnRenamed("word", "x").join(near, "x").select("node", "kind", "count", F.col("y").alias("word")).union(whole)
+    by_whole = (
+        joint.select(F.col("node").alias("a"), "kind", F.col("count").alias("count2"), "word").join(whole.withColumnRenamed("node", "b"), ["kind", "word"]).where("count <> count2").select("a", "b")
     )
+    pairs = by_token.union(by_whole).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # rare tokens count more
     tokens = n.select("node", "spellings", F.posexplode("tokens").alias("pos", "token"))
     total = n.agg(F.count("*").alias("total"))

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 
 from papyrine.llm import spellings as S
@@ -62,21 +65,42 @@ def test_edits(a, b, d):
     assert S.edits(a, b) == d == S.edits(b, a)
 
 
-def test_join_against_brute_force(spark):
-    """Every pair at or above the gram bound that passes the token test is a candidate."""
-    import itertools
-    import random
-
-    rng = random.Random(2)
-    syl = ["ba", "ru", "ti", "ko", "lem", "dra"]
-    bases = ["".join(rng.choices(syl, k=4)) for _ in range(25)]
-    tokens = sorted({b for b in bases} | {b[:3] + b[4:] for b in bases} | {b[:2] + "x" + b[3:] for b in bases})
-    nodes = spark.createDataFrame([(i, "university", [t], 1) for i, t in enumerate(tokens)], "node long, kind string, tokens array<string>, spellings long")
-    got = {(r.a, r.b) for r in S.similar_nodes(nodes).collect()}
-    grams = [set(S._grams(t)) for t in tokens]
-    want = set()
-    for i, j in itertools.combinations(range(len(tokens)), 2):
-        jac = len(grams[i] & grams[j]) / len(grams[i] | grams[j])
-        if jac >= S.GRAM_SIMILARITY and S.soft_similarity([tokens[i]], [tokens[j]], [1.0], [1.0], [1], [1]) >= S.TOKEN_SIMILARITY:
-            want.add((i, j))
-    assert want and want <= got
+def _edited(rng, w):
+    i = rng.randrange(len(w))
+    return rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice("abcd") + w[i:], w[:i] + rng.choice("abcd") + w[i + 1 :], w[: max(0, i - 1)] + w[i] + w[i - 1] + w[i + 1 :] if i else w])
+
+
+def test_near_tokens_against_brute_force(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choices("abcd", k=rng.choice([2, 3, 4, 5, 6, 7, 8, 11, 16]))) for _ in range(150)}
+    for w in list(words):
+        words |= {_edited(rng, w), _edited(rng, _edited(rng, w))} - {""}
+    frame = spark.createDataFrame([(w,) for w in sorted(words)], "word string")
+    got = {(r.x, r.y) for r in S.near_tokens(frame).collect()}
+    want = {(x, y) for x in words for y in words if x < y and min(len(x), len(y)) >= S.SHORT_TOKEN and S.edits(x, y, 2) <= S.most_edits(min(len(x), len(y)))}
+    assert got == want and len(want) > 200
+
+
+def test_similar_nodes_against_brute_force(spark):
+    """Every pair of nodes of one kind that the token comparison accepts is found."""
+    rng = random.Random(6)
+    place = ["".join(rng.choices("abcdefg", k=rng.choice([5, 7, 9]))) for _ in range(12)]
+    nodes = []
+    for i in range(220):
+        t = list(dict.fromkeys(_edited(rng, w) if rng.random() < 0.4 else w for w in rng.sample(place, rng.choice([1, 1, 2, 3]))))
+        if rng.random() < 0.15:
+            t = ["".join(t)]
+        nodes.append((i, rng.choice(["university", "lab"]), t, 1))
+    df = spark.createDataFrame(nodes, "node long, kind string, tokens array<string>, spellings long")
+    got = {(r.a, r.b): r.sim for r in S.similar_nodes(df).collect()}
+    in_nodes = [t for _, _, ts, _ in nodes for t in ts]
+    uses = {t: in_nodes.count(t) for t in in_nodes}
+    w = lambda t: math.log(1 + len(nodes) / uses[t])
+    want = {}
+    for i, k, t, _ in nodes:
+        for j, m, u, _ in nodes:
+            if i < j and k == m:
+                sim = S.soft_similarity(t, u, [w(x) for x in t], [w(x) for x in u], [uses[x] for x in t], [uses[x] for x in u])
+                if sim >= S.TOKEN_SIMILARITY:
+                    want[i, j] = sim
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want) and len(want) > 50
