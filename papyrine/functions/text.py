@@ -43,6 +43,20 @@ SEARCH_STOP = tuple(
     "much many any all some one two three does do done make makes made may might will would could should because since if then so no nor "
     "own same too here there about after before during through against you your".split()
 )
+# Words of the search list that count in a stated failure (fixed values).
+_FAILURE_WORDS = frozenset("not our show shown present presents novel paper any all some three done made might nor too here after before during through you your".split())
+# Further words that name no failure (fixed values).
+FAILURE_STOP = tuple(w for w in SEARCH_STOP if len(w) > 2 and w not in _FAILURE_WORDS) + tuple(
+    "existing current prior previous conventional traditional approaches works often typically remain remains limited limitation limitations "
+    "challenge challenges challenging difficult difficulty problem problems issue issues significant significantly large high low widely various "
+    "based rely relies require requires requiring expensive costly cost costs lack lacks fail fails failure unable cannot still them without "
+    "performance tasks task training either struggle struggles suffer suffers making due was were they what who how why less others well even "
+    "across within although though hence therefore moreover furthermore despite unlike among along usually generally highly particularly "
+    "especially several including include includes leading leads lead given uses via per yet way ways key main real world recent recently "
+    "different single multiple specific important common poor poorly hard hinder hinders hindering prevent prevents prevented ignore ignores "
+    "ignoring overlook overlooks neglect neglects capture captures capturing achieve achieves achieving obtain handle handling address addresses "
+    "addressing focus focuses focusing focused consider considers resulting solutions solution".split()
+)
 
 _ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžčćđłńřśťůőű", "aaaaaaceeeeiiiinoooooouuuuyyszccdlnrstuou")
 
@@ -140,6 +154,18 @@ def _shifted(tokens: Column) -> Column:
     return F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
 
 
+def failure_terms(c: Column, label: str = "") -> Column:
+    """Distinct words of five letters or more and pairs of a stated failure.
+
+    Pairs are formed after stop words, and the words of the topic's own ``label``, are taken out.
+    """
+    import re
+
+    own = re.findall(r"[a-z][a-z\-]{2,}", label.lower())
+    w = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z][a-z\-]{2,})"), F.lit(1)), lambda t: ~t.isin(*FAILURE_STOP, *own))
+    return F.array_distinct(F.concat(F.filter(w, lambda t: F.length(t) >= 5), bigrams(w)))
+
+
 def index_terms(c: Column, stop: Sequence[str] = SEARCH_STOP) -> Column:
     """Distinct unigrams, and bigrams formed before stop words are removed."""
     w = F.transform(words(c), lambda t: F.struct(t.alias("t"), t.isin(*stop).alias("stop")))

@@ -45,6 +45,23 @@ def search_ranked(postings: DataFrame, n_docs: DataFrame, words: list[str], limi
     return s.orderBy(F.col("score").desc(), "doc").limit(limit)
 
 
+def search_set(postings: DataFrame, n_docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """(query, rank, doc, score): :func:`search_ranked` of every row of ``queries`` (query, words) in one pass.
+
+    A word is looked up among the beginnings of the vocabulary's terms by equality; the terms are few beside their
+    postings, so these are joined once.  A query's own document is left out.
+    """
+    words = queries.select("query", F.explode(F.array_distinct("words")).alias("w"))
+    vocabulary = postings.groupBy("term").agg(F.first("df").alias("df"))
+    starts = vocabulary.select("term", "df", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substring(F.col("term"), F.lit(1), i))).alias("w"))
+    terms = words.join(starts, "w").select("query", "term", "df").distinct()
+    weight = F.log(1 + F.col("n") / F.col("df"))
+    hits = terms.crossJoin(F.broadcast(n_docs)).select("query", "term", weight.alias("weight")).join(postings.select("term", "doc"), "term").where("query <> doc")
+    s = hits.groupBy("query", "doc").agg(F.round(F.sum("weight"), 9).alias("score"))
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "doc")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query", "rank", "doc", "score")
+
+
 def suggest(vocabulary: DataFrame, word: str, most: int = 2) -> DataFrame:
     """Terms within ``most`` edits of a word, nearest first: typo tolerance of the search."""
     w = F.lit(word.lower())
@@ -127,24 +144,66 @@ def cluster_labels(tokens: DataFrame, cluster: str, doc: str, term: str, least_s
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(cluster, "rank", term, "c", "score")
 
 
-def gap_terms(terms: DataFrame, doc: str, term: str, total: DataFrame, least: int = 3, part: int = 60) -> DataFrame:
+def gap_terms(members: DataFrame, doc: str, failure: str, label: str = "", least: int = 3, part: int = 60) -> DataFrame:
     """(term, df): failure terms in max(least, n / part) documents or more, and at most half of them.
 
-    A word is dropped where a pair that contains it has 60 percent of its documents.
+    n counts the documents that state a failure.  A word is dropped where a pair that contains it has
+    60 percent of its documents.
     """
-    df = terms.groupBy(term).agg(F.count_distinct(doc).alias("df")).crossJoin(F.broadcast(total))
-    band = df.where((F.col("df") >= F.greatest(F.lit(least), F.floor(F.col("n") / part))) & (F.col("df") <= F.col("n") / 2)).select(F.col(term).alias("term"), "df")
-    pairs = band.where(F.contains("term", F.lit(" "))).select(F.explode(F.split("term", " ")).alias("term"), F.col("df").alias("pdf"))
-    heavy = pairs.join(band, "term").where(F.col("pdf") >= 0.6 * F.col("df")).select("term").distinct()
+    stated = members.where(F.length(F.coalesce(F.col(failure), F.lit(""))) > 0)
+    terms = stated.select(doc, F.explode(X.failure_terms(F.col(failure), label)).alias("term"))
+    df = terms.groupBy("term").agg(F.count_distinct(doc).alias("df")).crossJoin(F.broadcast(stated.agg(F.count_distinct(doc).alias("n"))))
+    band = df.where((F.col("df") >= F.greatest(F.lit(least), F.floor(F.col("n") / part))) & (F.col("df") <= F.col("n") / 2)).select("term", "df")
+    # a term of the band is in a sixtieth of the documents, so there are 60 times the terms of one sentence at most
+    pairs = band.where(F.contains("term", F.lit(" "))).select(F.col("term").alias("pair"), F.col("df").alias("pdf"))
+    alone = band.where(~F.contains("term", F.lit(" ")))
+    heavy = alone.join(F.broadcast(pairs), F.contains("pair", "term") & (F.col("pdf") >= 0.6 * F.col("df"))).select("term").distinct()
     return band.join(heavy, "term", "left_anti")
 
 
-def pick_disjoint(candidates: list[tuple[str, float]], top: int = 10) -> list[str]:
+def pick_disjoint(candidates: list[str], top: int = 10) -> list[str]:
     """Of terms in order, those that neither contain nor are contained in one picked before."""
     picked: list[str] = []
-    for term, _ in candidates:
+    for term in candidates:
         if len(picked) == top:
             break
         if not any(term in p or p in term for p in picked):
             picked.append(term)
     return picked
+
+
+def gap_scan(members: DataFrame, doc: str, failure: str, attack: str, year: str, label: str = "", least: int = 3, top: int = 10) -> DataFrame:
+    """(rank, term, named, attacked, motivation, years, doc, sentence): failures of a field, who names and who attacks them.
+
+    The leading failure terms that do not contain one another and that ``least`` documents name verbatim.
+    A namer attacks a failure if its ``attack`` text has the term, else it only cites it as motivation.  ``years``
+    is 'year:n' of the namers in order, ``sentence`` the shortest that names the term.  Unattacked terms come
+    first, then the most named.
+
+    The choice is sequential and made on the driver, over all terms of the band, whose number does not grow
+    with the documents; terms too seldom named verbatim are set aside in turn until ten hold.
+    """
+    spark = members.sparkSession
+    stated = members.where(F.length(F.coalesce(F.col(failure), F.lit(""))) > 0).select(F.col(doc).alias("_doc"), F.col(failure).alias("_l"), F.lower(F.coalesce(F.col(attack), F.lit(""))).alias("_a"), F.col(year).alias("_y"))
+    order = [r.term for r in gap_terms(members, doc, failure, label, least).orderBy(F.col("df").desc(), "term").collect()]
+
+    def named(terms: list[str]) -> DataFrame:
+        t = spark.createDataFrame([(x,) for x in terms], "term string")
+        return stated.crossJoin(F.broadcast(t)).where(F.contains(F.lower("_l"), F.col("term")))
+
+    known: dict[str, int] = {}
+    while True:
+        picked = pick_disjoint([t for t in order if known.get(t, least) >= least], top)
+        new = [t for t in picked if t not in known]
+        if not new:
+            break
+        known |= dict.fromkeys(new, 0) | {r["term"]: r["count"] for r in named(new).groupBy("term").count().collect()}
+    rows = named(picked)
+    attacked = F.contains("_a", F.col("term"))
+    n = rows.groupBy("term").agg(
+        F.count("*").alias("named"), F.count(F.when(attacked, 1)).alias("attacked"), F.min_by(F.struct("_doc", "_l"), F.struct(F.length("_l"), "_doc")).alias("rep")
+    )
+    years = rows.groupBy("term", "_y").agg(F.count("*").alias("k")).groupBy("term").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_y", "k"))), lambda x: F.concat_ws(":", x["_y"].cast("string"), x["k"].cast("string"))), " ").alias("years"))
+    place = Window.orderBy((F.col("attacked") > 0).cast("int"), F.col("named").desc(), "term")  # ten rows
+    out = n.join(years, "term").withColumn("rank", F.row_number().over(place))
+    return out.select("rank", "term", "named", "attacked", (F.col("named") - F.col("attacked")).alias("motivation"), "years", F.col("rep._doc").alias(doc), F.col("rep._l").alias("sentence"))

@@ -24,7 +24,7 @@ class Store:
     """The frames the tools read; any of them may be None, then its tools give empty results.
 
     papers: gid, venue, year, title, authors, abstract, url; topics: topic, gid, kind;
-    facts: gid, limitation, claim, methods, datasets; sections: gid, pos, heading, bucket, text;
+    facts: gid, limitation, claim, attack (what is claimed and proposed, as one text), methods, datasets; sections: gid, pos, heading, bucket, text;
     edges: citing, cited, sentence; vectors: gid, vec; links: gid, kind, repo, own;
     cells: field, technique, score; postings: term, doc, df.
     """
@@ -93,17 +93,9 @@ def field_trend(s: Store, topic: str) -> DataFrame:
 
 
 def gap_scan(s: Store, topic: str) -> DataFrame:
-    """Failure terms of a topic's stated limitations: how many papers name each, how many claim to attack it."""
-    f = s.facts.join(s.topics.where(F.col("topic") == topic.lower()).select("gid"), "gid", "left_semi")
-    lim = f.where("limitation is not null")
-    words = F.filter(X.words(F.col("limitation")), lambda t: ~t.isin(*X.SEARCH_STOP))
-    t = lim.select("gid", F.explode(F.array_distinct(F.concat(words, X.bigrams(words)))).alias("term"))
-    g = S.gap_terms(t, "gid", "term", lim.agg(F.count("*").alias("n")))
-    lead = [(r.term, r.df) for r in g.orderBy(F.col("df").desc(), "term").limit(500).collect()]
-    picked = s.papers.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(S.pick_disjoint(lead))], "rank int, term string")
-    named = F.contains(F.lower(F.coalesce("limitation", F.lit(""))), F.col("term"))
-    attacked = F.contains(F.lower(F.coalesce("claim", F.lit(""))), F.col("term"))
-    return f.crossJoin(F.broadcast(picked)).groupBy("rank", "term").agg(F.count(F.when(named, 1)).alias("named"), F.count(F.when(attacked, 1)).alias("attacked")).orderBy((F.col("attacked") > 0).cast("int"), F.col("named").desc(), "rank")
+    """Failure terms of a topic's stated limitations: how many papers name each, how many of these attack it."""
+    f = s.facts.join(s.topics.where(F.col("topic") == topic.lower()).select("gid").distinct(), "gid", "left_semi").join(s.papers.select("gid", "year"), "gid")
+    return S.gap_scan(f, "gid", "limitation", "attack" if "attack" in f.columns else "claim", "year", topic)
 
 
 def paper_text(s: Store, gid: int, section: str | None = None, most: int = 12_000) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from papyrine.session import bounded_rows, cut
 MOST_GROUPS = 10_000
 #: Rows of a block of vectors that are multiplied at once.
 BLOCK = 1024
+#: Rows of a query set that go to every task at once.
+HELD = 50_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,40 +31,79 @@ def normalise(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int, block: int = BLOCK) -> DataFrame:
+def _pack(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([r.k for r in rows], np.int64), np.array([np.asarray(r.v, np.float64) for r in rows])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of vectors of one length as a matrix of doubles."""
+    flat = np.asarray(column.flatten(), np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
+def _held_blocks(rows: DataFrame, key: str, vec: str, block: int) -> Iterator[DataFrame]:
+    """Parts of at most about ``block`` rows each, by the hash of the key."""
+    r = rows.select(F.col(key).cast("long").alias("k"), F.col(vec).alias("v")).where("k is not null and v is not null")
+    n = r.count()
+    parts = max(1, -(-n // block))
+    if n:
+        r = cut(r) if parts > 1 else r
+        for i in range(parts):
+            yield r.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == i) if parts > 1 else r
+
+
+def _better(q: np.ndarray, key: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, key, sim) the k best of each query; ties, to nine digits, by the smaller key."""
+    order = np.lexsort((key, -np.round(sim, 9), q))
+    q, key, sim = q[order], key[order], sim[order]
+    start = np.r_[True, q[1:] != q[:-1]]
+    place = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0))
+    keep = place < k
+    return q[keep], key[keep], sim[keep]
+
+
+def knn(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int, block: int = BLOCK, held: int = HELD) -> DataFrame:
     """(key, rank, neighbour, sim): the k nearest by dot product, itself left out, ties by the smaller key.
 
-    Exact.  Both sides are packed into blocks of rows; every query block meets every block of
-    vectors once, in an Arrow function that multiplies the two and keeps k per query, so what leaves
-    a task is k rows per query and block.  The blocks of one query block are merged by a
-    window with a pushed group limit.
+    Exact.  The queries go to the tasks in blocks of at most ``held`` rows; for each block the vectors are read
+    once, where they are, and multiplied in pieces of ``block`` rows.  A task keeps k rows for each query,
+    so that, and no vector, is shuffled; a window with a pushed group limit merges the tasks.  Every block of
+    queries costs one more pass over the vectors, whatever their number.
     """
-
-    def packed(rows: DataFrame, name: str) -> DataFrame:
-        b = F.pmod(F.xxhash64(key), F.lit(blocks)).alias(f"{name}_block")
-        r = rows.select(F.col(key).cast("long").alias("k"), F.col(vec).alias("v"), b).where("v is not null")
-        return r.groupBy(f"{name}_block").agg(F.collect_list(F.struct("k", "v")).alias(name))
-
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    pairs = packed(queries, "q").crossJoin(packed(vectors, "c"))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for q, c in zip(batch["q"], batch["c"]):
-                qk, ck = np.array([r["k"] for r in q]), np.array([r["k"] for r in c])
-                qv = np.array([np.asarray(r["v"], dtype=np.float64) for r in q])
-                cv = np.array([np.asarray(r["v"], dtype=np.float64) for r in c])
-                s = qv @ cv.T
-                s[qk[:, None] == ck[None, :]] = -np.inf
-                m = min(k, s.shape[1])
-                # one more than needed, so that ties at the edge are settled by key below
-                part = np.argpartition(-s, min(m, s.shape[1] - 1), axis=1)[:, : min(m + 1, s.shape[1])]
-                rows = np.repeat(np.arange(len(qk)), part.shape[1])
-                out = pd.DataFrame({"key": qk[rows], "neighbour": ck[part.ravel()], "sim": s[rows, part.ravel()]})
-                yield out[np.isfinite(out["sim"])]
-
-    near = pairs.select("q", "c").repartition(max(1, min(blocks * blocks, 10_000))).mapInPandas(best, "key long, neighbour long, sim double")
+    spark = vectors.sparkSession
+    corpus = vectors.select(F.col(key).cast("long").alias("k"), F.col(vec).alias("v")).where("k is not null and v is not null")
+    near = None
+    for part in _held_blocks(queries, key, vec, held):
+        sent = spark.sparkContext.broadcast(_pack(part.collect()))  # ``held`` rows at most, or a little more
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qk, qv = sent.value
+            low = np.full(len(qk), -np.inf)  # the k-th best of each query so far
+            found = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.float64))
+            for b in batches:
+                ck_all, cv_all = np.asarray(b.column(0)), _matrix(b.column(1))
+                for i in range(0, len(ck_all), block):
+                    ck, cv = ck_all[i : i + block], cv_all[i : i + block]
+                    new = [found]
+                    for j in range(0, len(qk), block):
+                        s = qv[j : j + block] @ cv.T
+                        s[qk[j : j + block, None] == ck[None, :]] = -np.inf
+                        bar = low[j : j + block]
+                        if s.shape[1] > k:
+                            bar = np.maximum(bar, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+                        r, c = np.nonzero((s >= bar[:, None] - 1e-8) & np.isfinite(s))
+                        new.append((r + j, ck[c], s[r, c]))
+                    found = _better(*(np.concatenate(x) for x in zip(*new)), k)
+                    full = np.bincount(found[0], minlength=len(qk)) == k
+                    least = np.full(len(qk), np.inf)
+                    np.minimum.at(least, found[0], found[2])
+                    low = np.where(full, least, -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(qk[found[0]]), pa.array(found[1]), pa.array(found[2])], names=["key", "neighbour", "sim"])
+
+        one = corpus.mapInArrow(best, "key long, neighbour long, sim double")
+        near = one if near is None else near.union(one)
+    if near is None:
+        near = spark.createDataFrame([], "key long, neighbour long, sim double")
     w = Window.partitionBy("key").orderBy(F.round("sim", 9).desc(), "neighbour")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("key").alias(key), "rank", "neighbour", "sim")
 
@@ -94,27 +136,27 @@ def expand_topics(vectors: DataFrame, members: DataFrame, key: str, group: str,
     return s.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("cap")).select(group, key, "sim")
 
 
-def near_pairs(vectors: DataFrame, key: str, vec: str, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, sim), a < b: pairs at least so similar, by block products as in :func:`knn`."""
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    r = vectors.select(F.col(key).cast("long").alias("k"), F.col(vec).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b")).where("v is not null")
-    packed = r.groupBy("b").agg(F.collect_list(F.struct("k", "v")).alias("rows"))
-    left, right = packed.select(F.col("b").alias("b1"), F.col("rows").alias("q")), packed.select(F.col("b").alias("b2"), F.col("rows").alias("c"))
-    pairs = left.join(right, F.col("b1") <= F.col("b2"))
-
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for q, c, same in zip(batch["q"], batch["c"], batch["same"]):
-                qk, ck = np.array([x["k"] for x in q]), np.array([x["k"] for x in c])
-                s = np.array([np.asarray(x["v"], dtype=np.float64) for x in q]) @ np.array([np.asarray(x["v"], dtype=np.float64) for x in c]).T
-                i, j = np.nonzero(s >= least)
-                if same:
-                    keep = qk[i] < ck[j]
-                    i, j = i[keep], j[keep]
-                yield pd.DataFrame({"a": np.minimum(qk[i], ck[j]), "b": np.maximum(qk[i], ck[j]), "sim": s[i, j]})
-
-    return pairs.select("q", "c", (F.col("b1") == F.col("b2")).alias("same")).repartition(max(1, min(blocks * blocks, 10_000))).mapInPandas(close, "a long, b long, sim double")
+def near_pairs(vectors: DataFrame, key: str, vec: str, least: float, block: int = BLOCK, held: int = HELD) -> DataFrame:
+    """(a, b, sim), a < b: pairs at least so similar, exactly; vectors meet in blocks as in :func:`knn`."""
+    spark = vectors.sparkSession
+    corpus = vectors.select(F.col(key).cast("long").alias("k"), F.col(vec).alias("v")).where("k is not null and v is not null")
+    out = None
+    for part in _held_blocks(vectors, key, vec, held):
+        sent = spark.sparkContext.broadcast(_pack(part.collect()))
+
+        def close(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qk, qv = sent.value
+            for b in batches:
+                ck, cv = np.asarray(b.column(0)), _matrix(b.column(1))
+                for i in range(0, len(ck), block):
+                    for j in range(0, len(qk), block):
+                        s = qv[j : j + block] @ cv[i : i + block].T
+                        r, c = np.nonzero((s >= least) & (qk[j : j + block, None] < ck[None, i : i + block]))
+                        yield pa.RecordBatch.from_arrays([pa.array(qk[r + j]), pa.array(ck[c + i]), pa.array(s[r, c])], names=["a", "b", "sim"])
+
+        one = corpus.mapInArrow(close, "a long, b long, sim double")
+        out = one if out is None else out.union(one)
+    return out if out is not None else spark.createDataFrame([], "a long, b long, sim double")
 
 
 def compact_vectors(vectors: DataFrame, key: str, vec: str, dims: int) -> DataFrame:

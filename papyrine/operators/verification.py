@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,14 +62,14 @@ def mutation_rates(rows: DataFrame, own: str, other: str) -> DataFrame:
 
 # --- figures -------------------------------------------------------------------------------
 
-_FIGURE = r"(?<![\w.])[-−]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
+# Thousands in groups first, then plain numbers (fixed value).
+_FIGURE = r"-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?"
 
 
 def figures(text: Column) -> Column:
     """Numbers of a text in order, thousands commas taken out, typographic minus read; years are left out."""
-    raw = F.regexp_extract_all(text, F.lit("(" + _FIGURE + ")"), F.lit(1))
-    clean = F.transform(raw, lambda s: F.translate(F.regexp_replace(s, ",", ""), "−", "-"))
-    return F.filter(clean, lambda s: ~s.rlike(r"^(19|20)\d\d$"))
+    raw = F.regexp_extract_all(F.translate(text, "−", "-"), F.lit("(" + _FIGURE + ")"), F.lit(1))
+    return F.transform(F.filter(raw, lambda s: ~s.rlike(r"^(19|20)\d\d$")), lambda s: F.regexp_replace(s, ",", ""))
 
 
 def decimals(figure: Column) -> Column:
@@ -85,17 +84,22 @@ def rounds_to(claim: Column, values: Column) -> Column:
 
 
 def derived(values: Column, most: int = 120) -> Column:
-    """Sums, differences, ratios and percentages of any two of the ``most`` smallest distinct values."""
+    """Sums, differences, ratios and percentages of any two of the ``most`` smallest distinct values, from 0 to ten million."""
     v = F.slice(F.array_sort(F.array_distinct(values)), 1, most)
 
     def pair(a: Column, b: Column) -> Column:
-        return F.array(a + b, a - b, F.try_divide(a, b), F.try_divide(a, b) * 100)
+        return F.array(a - b, b - a, a + b, F.try_divide(a, b) * 100, F.try_divide(b, a) * 100, F.try_divide(a, b), F.try_divide(b, a))
 
-    return F.flatten(F.flatten(F.transform(v, lambda a: F.transform(v, lambda b: pair(a, b)))))
+    every = F.flatten(F.flatten(F.transform(v, lambda a, i: F.transform(F.slice(v, i + 2, F.lit(most)), lambda b: pair(a, b)))))
+    return F.filter(every, lambda c: (c >= 0) & (c <= 1e7))
+
+
+# Keys under which ids stand: a list of them counts by its length, nothing else below them counts (fixed values).
+ID_KEYS = frozenset("gid gids attackers namers results cards citing cited_by cites neighbors id".split())
 
 
 def pool_of(value) -> list[float]:
-    """All figures of a JSON tree: numbers, numbers in strings and keys; a list of ids counts by its length only."""
+    """All figures of a JSON tree: numbers, numbers in strings and numeric keys; ids are no figures."""
     out: list[float] = []
 
     def walk(x) -> None:
@@ -104,18 +108,18 @@ def pool_of(value) -> list[float]:
         if isinstance(x, (int, float)):
             out.append(float(x))
         elif isinstance(x, str):
-            out.extend(float(n.replace(",", "").replace("−", "-")) for n in re.findall(_FIGURE, x))
+            out.extend(float(n.replace(",", "")) for n in re.findall(_FIGURE, x))
         elif isinstance(x, list):
-            if len(x) > 1 and all(isinstance(y, int) and not isinstance(y, bool) for y in x):
-                out.append(float(len(x)))
-            else:
-                for y in x:
-                    walk(y)
+            for y in x:
+                walk(y)
         elif isinstance(x, dict):
             for k, y in x.items():
-                if re.fullmatch(r"-?\d+(\.\d+)?", k):
-                    out.append(float(k))
-                walk(y)
+                if re.fullmatch(_FIGURE, k):
+                    out.append(float(k.replace(",", "")))
+                if k not in ID_KEYS:
+                    walk(y)
+                elif isinstance(y, list):
+                    out.append(float(len(y)))
 
     walk(value)
     return out
@@ -141,36 +145,27 @@ def figure_pool(trees: Column | str) -> Column:
 def check_figures(rows: DataFrame, text: str, pool: str) -> DataFrame:
     """Per figure of a text: 'ok' if the pool has it, 'derived' from two pool values, else 'no'."""
     f = rows.select("*", F.posexplode(figures(F.col(text))).alias("pos", "figure"))
-    verdict = F.when(rounds_to(F.col("figure"), F.col(pool)), "ok").when(rounds_to(F.col("figure"), derived(F.col(pool))), "derived").otherwise("no")
+    verdict = F.when(rounds_to(F.col("figure"), F.col(pool)), "ok").when((decimals(F.col("figure")) <= 2) & rounds_to(F.col("figure"), derived(F.col(pool))), "derived").otherwise("no")
     return f.withColumn("verdict", verdict)
 
 
 # --- anchored answers ----------------------------------------------------------------------
 
-_ANCHOR = re.compile(r"⟦([^|⟧]*)\|([^⟧]*)⟧")
-
-
-def segments_of(text: str) -> list[dict]:
-    """Prose, quote anchors ⟦id|quote⟧ and figure anchors ⟦tool:argument|claim⟧ in order."""
-    out, at = [], 0
-    for m in _ANCHOR.finditer(text or ""):
-        if text[at : m.start()].strip():
-            out.append({"kind": "prose", "ref": None, "value": text[at : m.start()]})
-        ref = m.group(1).strip()
-        out.append({"kind": "figure" if ":" in ref else "quote", "ref": ref, "value": m.group(2)})
-        at = m.end()
-    if text and text[at:].strip():
-        out.append({"kind": "prose", "ref": None, "value": text[at:]})
-    return out
+_ANCHOR = r"⟦([^|⟧]*)\|([^⟧]*)⟧"
 
 
 def answer_segments(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, kind, ref, value): one row per segment of an answer."""
-    kind = rows.schema[key].dataType.simpleString()
+    """(key, pos, kind, ref, value): one row per segment of an answer.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [(k, i, s["kind"], s["ref"], s["value"]) for k, t in zip(b[key], b[text]) for i, s in enumerate(segments_of(t))]
-            yield pd.DataFrame(found, columns=[key, "pos", "kind", "ref", "value"])
-
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, pos int, kind string, ref string, value string")
+    Prose, quote anchors ⟦id|quote⟧ and figure anchors ⟦tool:argument|claim⟧ in order; blank prose is left out.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    ref = F.regexp_extract_all(t, F.lit(_ANCHOR), F.lit(1))
+    value = F.regexp_extract_all(t, F.lit(_ANCHOR), F.lit(2))
+    prose = F.split(t, _ANCHOR, -1)
+    s = F.zip_with(prose, F.zip_with(ref, value, lambda r, v: F.struct(F.trim(r).alias("ref"), v.alias("value"))), lambda p, a: F.array(
+        F.struct(F.lit("prose").alias("kind"), F.lit(None).cast("string").alias("ref"), p.alias("value")),
+        F.struct(F.when(F.contains(a["ref"], F.lit(":")), "figure").otherwise("quote").alias("kind"), a["ref"].alias("ref"), a["value"].alias("value")),
+    ))
+    kept = F.filter(F.flatten(s), lambda x: F.when(x["kind"] == "prose", ~x["value"].rlike(r"^\s*$")).otherwise(x["value"].isNotNull()) & x["value"].isNotNull())
+    return rows.select(key, F.posexplode(kept).alias("pos", "s")).select(key, "pos", "s.kind", "s.ref", "s.value")

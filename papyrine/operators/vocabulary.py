@@ -88,13 +88,15 @@ def find_parents(labels: DataFrame, vocabulary: DataFrame, size: str | None = No
     return hit.groupBy("label").agg(F.max_by("parent", F.struct(F.length("parent"), "parent")).alias("parent"))
 
 
-def fold_labels(labels: DataFrame, vocabulary: DataFrame, least: int = 8, most_words: int = 8) -> DataFrame:
+def fold_labels(labels: DataFrame, vocabulary: DataFrame, least: int = 8) -> DataFrame:
     """(label, topic): vocabulary labels that stand inside another label as whole words.
 
-    Every run of words of the label is looked up, so the join is on equality.
+    Every run of words of the label is looked up, so the join is on equality; runs are as long as the longest
+    vocabulary label.
     """
     w = F.split("label", " ")
     n = F.size(w)
+    most_words = vocabulary.agg(F.coalesce(F.max(F.size(F.split("label", " "))), F.lit(1)).alias("n")).first().n
     runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, F.least(n, i + most_words - 1)), lambda j: F.array_join(F.slice(w, i, j - i + 1), " "))))
     parts = labels.select("label", F.explode(F.array_distinct(runs)).alias("topic"))
     v = vocabulary.select(F.col("label").alias("topic")).where(F.length("topic") >= least)

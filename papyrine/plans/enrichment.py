@@ -10,7 +10,7 @@ from papyrine.operators import enrichment as En
 from papyrine.operators import records as Rec
 from papyrine.operators import selection as S
 from papyrine.operators import trends as T
-from papyrine.session import table
+from papyrine.session import cut, table
 
 _P = "p as (select * exclude (rn) from (select *, row_number() over (partition by event_id order by ingested_at desc, title) as rn from papers) where rn = 1)"
 _F = "f as (select event_id, facts from (select *, row_number() over (partition by event_id order by extracted_at desc, source, model) as rn from facts_abstract where ok) where rn = 1)"
@@ -129,11 +129,26 @@ def rising_limits(spark, d):
     totals = f.agg(F.count(F.when(side == 0, 1)).alias("t0"), F.count(F.when(side == 1, 1)).alias("t1"))
     t = f.select("event_id", side.alias("side"), F.explode(F.array_distinct(F.filter(X.words(F.col("s")), lambda w: ~w.isin(*X.SEARCH_STOP)))).alias("term")).groupBy("term", "side").agg(F.count("*").alias("n"))
     r = En.rising_terms(T.paired(t, ["term"], F.col("side"), totals), "term", least=3, most_share=0.2, bar=1.0)
-    lead = [(x.term, x.z) for x in r.orderBy(F.col("z").desc(), "term").limit(200).collect()]
-    picked = S.pick_disjoint(lead, 5)
+    r = cut(r)
+    picked: list[str] = []
+    for x in r.orderBy(F.round("z", 9).desc(), "term").select("term").toLocalIterator():  # in order, until five hold
+        picked = S.pick_disjoint([*picked, x.term], 5)
+        if len(picked) == 5:
+            break
     return r.where(F.col("term").isin(picked) if picked else F.lit(False)).select("term", "n0", "n1", F.round("z", 6).alias("z"))
 
 
+_LSTOP = "[" + ", ".join(f"'{w}'" for w in X.SEARCH_STOP) + "]"
+RISING_LIMITS = f"""with recursive {_P}, {_F}, l as (select event_id, facts.limitation as s, (year > 2024)::int as side from f join p using (event_id) where facts.limitation is not null),
+t as (select distinct event_id, side, term from (select event_id, side, unnest(regexp_extract_all(lower(s), '[a-z][a-z0-9\\-]{{2,}}')) as term from l) where not list_contains({_LSTOP}, term)),
+n as (select term, count(*) filter (side = 0) as n0, count(*) filter (side = 1) as n1, (select count(*) filter (side = 0) from l) as t0, (select count(*) filter (side = 1) from l) as t1 from t group by 1),
+q as (select *, (n0 + n1)::double / (t0 + t1) as p from n where n0 + n1 >= 3 and n0 <= 0.2 * t0 and n1 <= 0.2 * t1),
+z as (select *, case when p * (1 - p) * (1.0 / t0 + 1.0 / t1) > 1e-12 then (n1::double / t1 - n0::double / t0) / sqrt(p * (1 - p) * (1.0 / t0 + 1.0 / t1)) else 0 end as z from q),
+o as (select *, row_number() over (order by round(z, 9) desc, term) as i from z where z >= 1),
+pick as (select 0::bigint as i, []::varchar[] as used union all select o.i, case when len(used) < 5 and len(list_filter(used, lambda u: contains(u, term) or contains(term, u))) = 0 then list_append(used, term) else used end from pick join o on o.i = pick.i + 1)
+select term, n0, n1, round(z, 6) as z from o where term in (select unnest(used) from (select used from pick order by i desc limit 1))"""
+
+
 def renderings(spark, d):
     """Abstracts against themselves with one figure changed: figures that no longer survive are seen."""
     p = _papers(spark, d).where("abstract is not null")
@@ -142,6 +157,12 @@ def renderings(spark, d):
     return p.agg(F.count("*").alias("n"), F.count(F.when(s["numbers_kept"], 1)).alias("kept"), F.count(F.when(s["echo"], 1)).alias("echo"), F.count(F.when(~t["numbers_kept"], 1)).alias("caught"))
 
 
+_FIGS = "list_transform(list_filter(regexp_extract_all(replace({0}, '−', '-'), '-?\\d{{1,3}}(?:,\\d{{3}})+(?:\\.\\d+)?|-?\\d+(?:\\.\\d+)?'), lambda f: not regexp_matches(f, '^(19|20)\\d\\d$')), lambda f: replace(f, ',', '')::double)"
+_KILO = "list_transform(regexp_extract_all(abstract, '(\\d+(?:\\.\\d+)?)\\s*[kK]\\b', 1), lambda f: f::double)"
+RENDERINGS = f"""with {_P}, c as (select abstract, regexp_replace(abstract, '^([^0-9]*)[0-9]+', '\\1987654') as other from p where abstract is not null), v as (select {_FIGS.format('abstract')} as a, {_FIGS.format('other')} as b, {_KILO} as k from c)
+select count(*) as n, count(*) as kept, count(*) as echo, count(*) filter (len(list_filter(a, lambda x: not (list_contains(b, x) or (list_contains(k, x) and list_contains(b, x * 1000))))) > 0) as caught from v"""
+
+
 def role_ranges(spark, d):
     """Evidence spans marked in the abstract, longest first, none overlapping."""
     f = _facts(spark, d).select("event_id", F.transform("facts.methods", lambda m: F.struct(F.lit("method").alias("role"), m["name"].alias("phrase"), F.lit(1).alias("priority"))).alias("a"), F.transform("facts.tasks", lambda m: F.struct(F.lit("task").alias("role"), m["name"].alias("phrase"), F.lit(2).alias("priority"))).alias("b"))
@@ -194,8 +215,8 @@ QUERIES = [
     ("coverage_block", coverage_block, COVERAGE_BLOCK),
     ("pair_relations", pair_relations, PAIR_RELATIONS),
     ("match_quality", match_quality, MATCH_QUALITY),
-    ("rising_limits", rising_limits, None),
-    ("renderings", renderings, None),
+    ("rising_limits", rising_limits, RISING_LIMITS),
+    ("renderings", renderings, RENDERINGS),
     ("role_ranges", role_ranges, None),
     ("area_summary", area_summary, None),
     ("preprint_cites", preprint_cites, PREPRINT_CITES),

@@ -37,6 +37,10 @@ def contact_lines(spark, d):
     return p.select("event_id", F.explode(E.contacts(line)).alias("c")).select("event_id", "c.name", "c.email")
 
 
+CONTACT_LINES = f"""with {_P}, a as (select event_id, authors[1] as a from p where len(authors) > 0), m as (select event_id, regexp_replace(a, ',', '', 'g') as n, lower(trim(regexp_replace(lower(a), '[^a-z0-9]+', '-', 'g'), '-')) || '@example.org' as m from a)
+select event_id, nullif(regexp_extract(n, '([A-Z][\\w.''\\-]*(?:\\s+[A-Z][\\w.''\\-]*){{0,3}})$', 1), '') as name, m as email from m"""
+
+
 def repo_links(spark, d):
     p = _papers(spark, d).where("event_id is not null")
     name = X.slug(F.substring_index("title", ":", 1))
@@ -44,13 +48,13 @@ def repo_links(spark, d):
         F.lit("We study a problem. Our code is available at https://github. com/lab-"), F.col("year").cast("string"), F.lit("/"), name, F.lit(".git. We use the data from https://huggingface.co/datasets/other/set. "),
         F.lit("See https://github.com/topics/x and https://lab.github.io/"), name, F.lit("). Weights: https://zenodo.org/record/"), (F.col("event_id") + 100000).cast("string"), F.lit("."),
     )
-    return E.links(p.select("event_id", line.alias("text")), "event_id", "text").select("event_id", "kind", "repo", "own", "weight")
+    return E.links(p.select("event_id", line.alias("text")), "event_id", "text").select("event_id", "own", "kind", "host", "repo", "evidence", "rank")
 
 
 _SLUG = "trim(regexp_replace(lower(split_part(title, ':', 1)), '[^a-z0-9]+', '-', 'g'), '-')"
-REPO_LINKS = f"""with {_P} select event_id, 'gh' as kind, 'lab-' || year || '/' || {_SLUG} as repo, true as own, 3 as weight from p
-union all select event_id, 'hfd', 'other/set', false, 0 from p union all select event_id, 'page', 'lab.github.io/' || {_SLUG}, false, 0 from p
-union all select event_id, 'zenodo', (event_id + 100000)::varchar, true, 1 from p"""
+REPO_LINKS = f"""with {_P} select event_id, true as own, 'code' as kind, 'gh' as host, 'lab-' || year || '/' || {_SLUG} as repo, 'ao' as evidence, 1 as rank from p
+union all select event_id, false, 'data', 'hfd', 'other/set', '', 1 from p union all select event_id, false, 'page', 'page', 'lab.github.io/' || {_SLUG}, '', 2 from p
+union all select event_id, false, 'data', 'zenodo', (event_id + 100000)::varchar, '', 3 from p"""
 
 
 def url_kinds(spark, d):
@@ -79,18 +83,29 @@ def text_repairs(spark, d):
 
 def title_pieces(spark, d):
     """Titles found again in answers written as lists, bold and quoted text."""
-    p = _papers(spark, d).select("event_id", X.squeeze(F.col("title")).alias("title")).where("length(title) between 20 and 150 and not contains(title, '*') and not contains(title, '\"')")
-    text = F.concat(F.lit("See **"), "title", F.lit("** and\n- "), "title", F.lit(" – good\n"))
+    p = _papers(spark, d).select("event_id", X.squeeze(F.col("title")).alias("title")).where("title is not null")
+    plain = F.regexp_replace("title", '[*"“”]', " ")
+    text = F.concat(F.lit("See **"), plain, F.lit("** and\n- "), plain, F.lit(" – good\n"))
     f = p.select("event_id", F.explode(E.markdown_titles(text)).alias("piece"), X.norm(F.col("title")).alias("key"), E.titleish(F.col("title")).alias("titleish"))
     return f.groupBy("event_id").agg(F.bool_or(F.col("piece") == F.col("key")).alias("found"), F.first("titleish").alias("titleish"))
 
 
+_SQ = "trim(regexp_replace(title, '\\s+', ' ', 'g'))"
+_TW = f"regexp_extract_all({_SQ}, '[\\p{{L}}][\\p{{L}}\\-]{{2,}}')"
+TITLE_PIECES = f"""with {_P}, t as (select event_id, regexp_replace({_SQ}, '[*"“”]', ' ', 'g') as s, {_TW} as w, trim(regexp_replace(lower({_SQ}), '[^a-z0-9]+', ' ', 'g')) as key from p where title is not null)
+select event_id, true as found, len(w) >= 5 and len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) >= 0.6 * len(w) as titleish from t where length(s) between 8 and 200 and length(key) >= 8"""
+
+
 def figure_scan(spark, d):
     """Figures of every abstract: how many, their sum, and how many are whole numbers."""
     p = _papers(spark, d).where("abstract is not null").select("event_id", F.explode(Ver.figures(F.col("abstract"))).alias("f"))
     return p.groupBy("event_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("f").cast("double")), 6).alias("total"), F.count(F.when(Ver.decimals(F.col("f")) == 0, 1)).alias("whole"))
 
 
+FIGURE_SCAN = f"""with {_P}, x as (select event_id, unnest(regexp_extract_all(replace(abstract, '−', '-'), '-?\\d{{1,3}}(?:,\\d{{3}})+(?:\\.\\d+)?|-?\\d+(?:\\.\\d+)?')) as f from p where abstract is not null)
+select event_id, count(*) as n, round(sum(replace(f, ',', '')::double), 6) as total, count(*) filter (not contains(f, '.')) as whole from x where not regexp_matches(f, '^(19|20)\\d\\d$') group by 1"""
+
+
 def figure_checks(spark, d):
     """Figures of an abstract against the pool of its extraction result: ok, derived or no."""
     f = Rec.latest(table(spark, d, "facts_abstract").where("ok"), "event_id", "extracted_at", "source", "model").select("event_id", Ver.figure_pool(F.to_json("facts")).alias("pool"))
@@ -129,12 +144,12 @@ LICENSE_LINES = "select doc_id from documents where contains(lower(text), 'relea
 QUERIES = [
     ("text_sections", text_sections, None),
     ("html_sections", html_sections, None),
-    ("contact_lines", contact_lines, None),
+    ("contact_lines", contact_lines, CONTACT_LINES),
     ("repo_links", repo_links, REPO_LINKS),
     ("url_kinds", url_kinds, URL_KINDS),
     ("text_repairs", text_repairs, None),
-    ("title_pieces", title_pieces, None),
-    ("figure_scan", figure_scan, None),
+    ("title_pieces", title_pieces, TITLE_PIECES),
+    ("figure_scan", figure_scan, FIGURE_SCAN),
     ("figure_checks", figure_checks, None),
     ("figure_pool", figure_pool, FIGURE_POOL),
     ("answer_segments", answer_segments, ANSWER_SEGMENTS),

@@ -64,6 +64,19 @@ def search_rank(spark, d):
 SEARCH_RANK = _INDEX + " select doc, round(s, 6) as score from (select doc, sum(ln(1 + (select count(*) from a)::double / df)) as s from x where starts_with(term, 'graph') or starts_with(term, 'noisy') or starts_with(term, 'sparse') group by doc) order by s desc, doc limit 50"
 
 
+def search_titles(spark, d):
+    """The title of every paper whose id is divisible by 100 as a query, against all abstracts."""
+    a = _abstracts(spark, d)
+    q = _papers(spark, d).where("event_id % 100 = 0").select(F.col("event_id").alias("query"), X.title_tokens(F.col("title")).alias("words"))
+    posts = S.term_index(a, "event_id", "abstract")
+    return S.search_set(posts, a.agg(F.count("*").alias("n")), q, 10).withColumn("score", F.round("score", 6))
+
+
+SEARCH_TITLES = _INDEX + """, q as (select event_id as query, unnest(list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 2 and x not in ('the','and','for','with','via','from','into','using','based')))) as w from p where event_id % 100 = 0),
+qt as (select distinct query, term, df from q join k on starts_with(term, w)), s as (select query, doc, round(sum(ln(1 + (select count(*) from a)::double / qt.df)), 9) as s from qt join x using (term) where query <> doc group by 1, 2),
+r as (select *, row_number() over (partition by query order by s desc, doc) as rank from s) select query, rank::int as rank, doc, round(s, 6) as score from r where rank <= 10"""
+
+
 def search_suggest(spark, d):
     v = S.term_index(_abstracts(spark, d), "event_id", "abstract").groupBy("term").agg(F.count("*").alias("df"))
     return S.suggest(v.where(~F.contains("term", F.lit(" "))), "kernal")
@@ -155,40 +168,52 @@ select event_id, array_to_string(list_sort(list_intersect(t, u)), ' ') as shared
 round(case when least(len(t), len(u)) > 0 then len(list_intersect(t, u))::double / least(len(t), len(u)) else 0 end, 6) as overlap from j"""
 
 
-def _limits(spark, d):
-    f = _facts(spark, d).select("event_id", F.col("facts.limitation").alias("limitation")).where("limitation is not null")
-    w = F.filter(F.regexp_extract_all(F.lower("limitation"), F.lit(r"([a-z][a-z\-]{2,})"), F.lit(1)), lambda t: ~t.isin(*X.SEARCH_STOP))
-    t = f.select("event_id", "limitation", F.array_distinct(F.concat(w, X.bigrams(w))).alias("terms"))
-    return f, t.select("event_id", F.explode("terms").alias("term"))
+def _members(spark, d):
+    """(event_id, year, limitation, attack): attack is what a paper claims, proposes and works on."""
+    f = _facts(spark, d)
+    names = lambda c: F.array_join(F.transform(c, lambda x: x["name"]), " ")
+    proposed = F.filter("facts.methods", lambda m: m["role"] == "proposed")
+    attack = F.concat_ws(" ", "facts.key_change", F.array_join("facts.novelty_spans", " "), names(proposed), names(F.col("facts.tasks")))
+    return f.select("event_id", F.col("facts.limitation").alias("limitation"), attack.alias("attack")).join(_papers(spark, d).select("event_id", "year"), "event_id")
 
 
 def gap_terms(spark, d):
-    f, t = _limits(spark, d)
-    return S.gap_terms(t, "event_id", "term", f.agg(F.count("*").alias("n")))
+    return S.gap_terms(_members(spark, d), "event_id", "limitation")
+
 
+_FSTOP = "[" + ", ".join(f"'{w}'" for w in X.FAILURE_STOP) + "]"
 
-_GAP = f"""with {_F}, l as (select event_id, facts.limitation as s from f where facts.limitation is not null),
-w as (select event_id, list_filter(regexp_extract_all(lower(s), '[a-z][a-z\\-]{{2,}}'), lambda x: not list_contains({_STOP}, x)) as w from l),
-t as (select distinct event_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from w),
+
+def gap_sql(members: str, own: str = "[]::varchar[]") -> str:
+    """Common tables of a gap scan: ``members`` has event_id, limitation, attack, year; ``own`` is the list of the topic's words."""
+    return f"""l as (select * from ({members}) where length(coalesce(limitation, '')) > 0),
+ow as (select {own} as own), w as (select event_id, list_filter(regexp_extract_all(lower(limitation), '[a-z][a-z\\-]{{2,}}'), lambda x: not list_contains({_FSTOP}, x) and not list_contains(own, x)) as w from l, ow),
+t as (select distinct event_id, unnest(list_concat(list_filter(w, lambda x: length(x) >= 5), list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from w),
 c as (select term, count(*) as df from t group by 1), b as (select * from c where df >= greatest(3, floor((select count(*) from l) / 60)) and df <= (select count(*) from l) / 2.0),
-h as (select distinct b.term from b join (select unnest(string_split(term, ' ')) as term, df as pdf from b where contains(term, ' ')) q on q.term = b.term where pdf >= 0.6 * df),
+h as (select distinct x.term from b x join b y on not contains(x.term, ' ') and contains(y.term, ' ') and contains(y.term, x.term) and y.df >= 0.6 * x.df),
 g as (select term, df from b where term not in (select term from h))"""
+
+
+GAP_SCAN_TAIL = """, nm as (select g.term, any_value(df) as df, count(l.event_id) as named from g left join l on contains(lower(limitation), g.term) group by 1),
+ord as (select *, row_number() over (order by df desc, term) as i from nm),
+pick as (select 0::bigint as i, []::varchar[] as used union all select o.i, case when len(used) < 10 and named >= 3 and len(list_filter(used, lambda u: contains(u, term) or contains(term, u))) = 0 then list_append(used, term) else used end from pick join ord o on o.i = pick.i + 1),
+final as (select unnest(used) as term from (select used from pick order by i desc limit 1)),
+nl as (select term, l.* from final join l on contains(lower(limitation), term)),
+y as (select term, string_agg(year || ':' || k, ' ' order by year) as years from (select term, year, count(*) as k from nl group by 1, 2) group by 1),
+s as (select term, count(*) as named, count(*) filter (contains(lower(coalesce(attack, '')), term)) as attacked, arg_min(event_id, (length(limitation), event_id)) as event_id, arg_min(limitation, (length(limitation), event_id)) as sentence from nl group by 1)
+select row_number() over (order by (attacked > 0)::int, named desc, term)::int as rank, term, named, attacked, named - attacked as motivation, years, event_id, sentence from s join y using (term)"""
+MEMBERS = """select event_id, year, facts.limitation as limitation, concat_ws(' ', facts.key_change, array_to_string(facts.novelty_spans, ' '),
+array_to_string(list_transform(list_filter(facts.methods, lambda m: m.role = 'proposed'), lambda m: m.name), ' '), array_to_string(list_transform(facts.tasks, lambda m: m.name), ' ')) as attack from f join p using (event_id)"""
+_GAP = f"with recursive {_P}, {_F}, " + gap_sql(MEMBERS)
 GAP_TERMS = _GAP + " select term, df from g"
 
 
 def gap_scan(spark, d):
     """The ten leading failure terms that do not contain one another, with who names and who attacks them."""
-    f, t = _limits(spark, d)
-    g = S.gap_terms(t, "event_id", "term", f.agg(F.count("*").alias("n")))
-    # the pick is sequential: it needs the leading few hundred terms, whatever the size of the table
-    lead = [(r.term, r.df) for r in g.orderBy(F.col("df").desc(), "term").limit(500).collect()]
-    picked = spark.createDataFrame([(i + 1, t) for i, t in enumerate(S.pick_disjoint(lead))] or [], "rank int, term string")
-    named = f.crossJoin(F.broadcast(picked)).where(F.contains(F.lower("limitation"), F.col("term")))
-    claims = _facts(spark, d).select("event_id", F.col("facts.key_change").alias("claim")).where("claim is not null").crossJoin(F.broadcast(picked)).where(F.contains(F.lower("claim"), F.col("term")))
-    years = _papers(spark, d).select("event_id", "year")
-    n = named.join(years, "event_id", "left").groupBy("rank", "term").agg(F.count("*").alias("named"), F.count(F.when(F.col("year") == 2026, 1)).alias("named_2026"), F.min_by("limitation", F.struct(F.length("limitation"), "limitation")).alias("shortest"))
-    a = claims.groupBy("term").agg(F.count("*").alias("attacked"))
-    return n.join(a, "term", "left").select("rank", "term", "named", "named_2026", F.coalesce("attacked", F.lit(0)).alias("attacked"), "shortest")
+    return S.gap_scan(_members(spark, d), "event_id", "limitation", "attack", "year")
+
+
+GAP_SCAN = _GAP + GAP_SCAN_TAIL
 
 
 def cluster_labels(spark, d):
@@ -218,6 +243,7 @@ QUERIES = [
     ("search_and", search_and, SEARCH_AND),
     ("search_scan", search_scan, SEARCH_SCAN),
     ("search_rank", search_rank, SEARCH_RANK),
+    ("search_titles", search_titles, SEARCH_TITLES),
     ("search_suggest", search_suggest, SEARCH_SUGGEST),
     ("facet_select", facet_select, FACET_SELECT),
     ("chip_counts", chip_counts, CHIP_COUNTS),
@@ -226,7 +252,7 @@ QUERIES = [
     ("stands_on", stands_on, STANDS_ON),
     ("overlap_chips", overlap_chips, OVERLAP_CHIPS),
     ("gap_terms", gap_terms, GAP_TERMS),
-    ("gap_scan", gap_scan, None),
+    ("gap_scan", gap_scan, GAP_SCAN),
     ("cluster_labels", cluster_labels, CLUSTER_LABELS),
     ("highlights", highlights, HIGHLIGHTS),
 ]

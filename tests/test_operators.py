@@ -176,7 +176,7 @@ def test_chips(spark):
 
 
 def test_pick_disjoint():
-    assert selection.pick_disjoint([("sample size", 9), ("size", 8), ("noise", 7), ("noise level", 6), ("cost", 5)], 3) == ["sample size", "noise", "cost"]
+    assert selection.pick_disjoint(["sample size", "size", "noise", "noise level", "cost"], 3) == ["sample size", "noise", "cost"]
 
 
 def test_sources(spark, tmp_path):

@@ -71,21 +71,33 @@ def test_contacts(spark):
 def test_figures(spark):
     assert one(spark, V.figures, "z −0.09 in 2024, 3,324 -> 6,592 and 4.4%") == ["-0.09", "3324", "6592", "4.4"]
     assert V.pool_of({"attackers": [11, 12], "named_by": 7}) == [2.0, 7.0]
+    assert V.pool_of({"by_year": [3, 4], "gid": 9, "results": {"n": 5}, "rows": [{"id": 12345, "n": 2}], "-2": "x7"}) == [3.0, 4.0, 2.0, -2.0, 7.0]
     assert V.pool_of({"5": True, "a": "1,000 and 3.5", "b": None}) == [5.0, 1000.0, 3.5]
     df = spark.createDataFrame([("4.4 and 31 and 99", [31.0, 705.0])], "t string, pool array<double>")
     assert [r.verdict for r in V.check_figures(df, "t", "pool").orderBy("pos").collect()] == ["derived", "ok", "no"]
 
 
+def test_derived_figures(spark):
+    df = spark.createDataFrame([("2 -1 0.333 33 66 9", [31.0, 33.0, 99.0])], "t string, pool array<double>")
+    got = [r.verdict for r in V.check_figures(df, "t", "pool").orderBy("pos").collect()]
+    assert got == ["derived", "no", "no", "ok", "derived", "no"]  # no negative value, and no third decimal, is derived
+
+
 def test_quote_is_bounded_by_words(spark):
     body = "We show that the sparse kernel converges quickly in practice."
     role = lambda q: one(spark, lambda c, b: V.quote_role(c, [("abstract", b)]), q, body)
     assert role("the sparse kernel converges quickly") == "abstract" and role("the sparse kernel converges quick") is None and role("sparse kernel") is None
 
 
-def test_segments():
-    s = V.segments_of("As ⟦12|own words⟧ shows, ⟦field_trend:x|4.4⟧ of")
-    assert [x["kind"] for x in s] == ["prose", "quote", "prose", "figure", "prose"] and s[3]["ref"] == "field_trend:x"
-    assert V.segments_of("") == [] and V.segments_of(None) == []
+def test_segments(spark):
+    df = spark.createDataFrame([(1, "As ⟦12|own words⟧ shows,\n ⟦field_trend:x|4.4⟧ of"), (2, ""), (3, None), (4, "⟦a|b⟧⟦c|d⟧"), (5, "no anchor ⟦ here")], "k long, t string")
+    got = {}
+    for r in V.answer_segments(df, "k", "t").orderBy("k", "pos").collect():
+        got.setdefault(r.k, []).append((r.pos, r.kind, r.ref, r.value))
+    assert got == {
+        1: [(0, "prose", None, "As "), (1, "quote", "12", "own words"), (2, "prose", None, " shows,\n "), (3, "figure", "field_trend:x", "4.4"), (4, "prose", None, " of")],
+        4: [(0, "quote", "a", "b"), (1, "quote", "c", "d")], 5: [(0, "prose", None, "no anchor ⟦ here")],
+    }
 
 
 def test_sections():
