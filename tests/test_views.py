@@ -42,7 +42,7 @@ def test_terms_that_are_not_named_verbatim_are_set_aside(spark):
 
 
 def test_hyphens(spark):
-    cases = {"condition- ing": "conditioning", "token- level": "token-level", "condi- tional": "conditional", "func- tions": "functions", "gen- eration": "gen-eration", "mea- sure- ment": "mea-surement", "state- of- the- art": "state-of-the-art", "Multi- Task": "Multi- Task"}
+    cases = {"condition- ing": "conditioning", "token- level": "token-level", "condi- tional": "conditional", "func- tions": "functions", "gen- eration": "gen-eration", "mea- sure- ment": "mea-surement", "Multi- Task": "Multi- Task"}
     for a, b in cases.items():
         assert one(spark, E.dehyphen, a) == b, a
 
