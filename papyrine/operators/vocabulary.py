@@ -50,14 +50,18 @@ def building_blocks(mentions: DataFrame, doc: str, name: str, least: int) -> Dat
 
     An acronym counts for the full name it glosses most often; a document counts once per key.
     """
+    from papyrine.session import cut
+
     k = X.method_key(F.col(name))
     m = mentions.select(F.col(doc).alias("doc"), F.col(name).alias("name"), k["key"].alias("key"), k["acronym"].alias("acronym")).where("key <> ''")
+    # one row for each document, name and key, with the mentions; the counts below are over these
+    m = cut(m.groupBy("doc", "name", "key", "acronym").agg(F.count("*").alias("c")))
     told = m.where("acronym is not null and acronym <> key").groupBy("acronym", "key").agg(F.count_distinct("doc").alias("n"))
     w = Window.partitionBy("acronym").orderBy(F.col("n").desc(), "key")
     full = told.withColumn("r", F.row_number().over(w)).where("r = 1").select("acronym", F.col("key").alias("full"))
-    folded = m.select("doc", "name", "key").join(full.withColumnRenamed("acronym", "key"), "key", "left").withColumn("key", F.coalesce("full", "key"))
+    folded = m.select("doc", "name", "key", "c").join(full.withColumnRenamed("acronym", "key"), "key", "left").withColumn("key", F.coalesce("full", "key"))
     counts = folded.groupBy("key").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= least)
-    names = folded.groupBy("key", "name").agg(F.count("*").alias("c"))
+    names = folded.groupBy("key", "name").agg(F.sum("c").alias("c"))
     best = Window.partitionBy("key").orderBy(F.col("c").desc(), "name")
     surface = names.withColumn("r", F.row_number().over(best)).where("r = 1").select("key", F.col("name").alias("surface"))
     return counts.join(surface, "key")

@@ -10,20 +10,19 @@ from papyrine.operators import records as Rec
 from papyrine.session import cut, table
 
 
-def _rows(spark, d):
-    """(field, technique, doc, year): subareas, null where a paper has none, and method keys."""
-    p = Rec.latest(table(spark, d, "papers"), "event_id", "ingested_at").select("event_id", "year", "subarea")
+def _base(spark, d):
+    """(doc, field, year, names, limitation, claim), read once: field is the subarea or null, claim what is changed and what results."""
+    p = Rec.latest(table(spark, d, "papers"), "event_id", "ingested_at").select("event_id", "year", F.col("subarea").alias("field"))
     f = Rec.latest(table(spark, d, "facts_abstract").where("ok"), "event_id", "extracted_at", "source", "model")
-    k = X.method_key(F.col("name"))["key"]
-    return p.join(f.select("event_id", F.explode("facts.methods.name").alias("name")), "event_id").select(F.col("subarea").alias("field"), k.alias("technique"), F.col("event_id").alias("doc"), "year").where("technique <> ''").distinct()
+    claim = F.nullif(F.concat_ws(" ", "facts.key_change", "facts.result_claim"), F.lit(""))
+    f = f.select("event_id", F.col("facts.methods.name").alias("names"), F.nullif("facts.limitation", F.lit("")).alias("limitation"), claim.alias("claim"))
+    return cut(p.join(f, "event_id").withColumnRenamed("event_id", "doc"))
 
 
-def _texts(spark, d):
-    """(doc, field, year, limitation, claim) of the papers with a field; claim is what is changed and what results."""
-    p = Rec.latest(table(spark, d, "papers"), "event_id", "ingested_at").select("event_id", "year", "subarea").where("subarea is not null")
-    f = Rec.latest(table(spark, d, "facts_abstract").where("ok"), "event_id", "extracted_at", "source", "model")
-    claim = F.nullif(F.concat_ws(" ", "facts.key_change", "facts.result_claim"), F.lit(""))
-    return p.join(f.select("event_id", F.nullif("facts.limitation", F.lit("")).alias("limitation"), claim.alias("claim")), "event_id").select(F.col("event_id").alias("doc"), F.col("subarea").alias("field"), "year", "limitation", "claim")
+def _rows(base):
+    """(field, technique, doc, year): method keys."""
+    k = X.method_key(F.col("name"))["key"]
+    return base.select("field", "doc", "year", F.explode("names").alias("name")).select("field", k.alias("technique"), "doc", "year").where("technique <> ''").distinct()
 
 
 _B = r"trim(regexp_replace(regexp_replace(lower(trim({0})), '[\s.,;:]+$', ''), '[\s\-_/]+', ' ', 'g'))"
@@ -45,13 +44,14 @@ e as (select field, nf, technique, nt from fs, ts where (field, technique) not i
 
 
 def _world(spark, d):
-    past = cut(_rows(spark, d))
-    o, f, t = P.cells(past.where("year <= 2025"), "field", "technique", "doc", LEAST_F, LEAST_T)
-    return past, cut(o), f, t
+    base = _base(spark, d)
+    rows = cut(_rows(base))
+    o, f, t = P.cells(rows.where("year <= 2025"), "field", "technique", "doc", LEAST_F, LEAST_T)
+    return base, rows, cut(o), f, t
 
 
 def link_cells(spark, d):
-    _, o, f, t = _world(spark, d)
+    _, _, o, f, t = _world(spark, d)
     e = P.empty_cells(o, f, t, "field", "technique").groupBy("field").agg(F.count("*").alias("empty"))
     return f.join(o.groupBy("field").agg(F.count("*").alias("filled"), F.sum("n").alias("docs")), "field", "left").join(e, "field", "left").select("field", "nf", F.coalesce("filled", F.lit(0)).alias("filled"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("empty", F.lit(0)).alias("empty"))
 
@@ -60,23 +60,23 @@ LINK_CELLS = _CELLS + """, a as (select field, count(*) as filled, sum(n)::bigin
 select field, nf, coalesce(filled, 0) as filled, coalesce(docs, 0) as docs, coalesce(empty, 0) as empty from fs left join a using (field) left join b using (field)"""
 
 
-def _profiles(spark, d, rows):
+def _profiles(base, rows):
     """Failure profiles of the fields and claim profiles of the techniques, up to 2025."""
-    texts = cut(_texts(spark, d).where("year <= 2025"))
+    texts = base.where("field is not null and year <= 2025")
     n = texts.agg(F.count_distinct("doc").alias("n"))
     lim = texts.where("limitation is not null").select("field", "doc", F.explode(X.failure_terms(F.col("limitation"))).alias("term"))
     claim = texts.where("claim is not null").select("doc", F.explode(X.failure_terms(F.col("claim"))).alias("term"))
-    idf = cut(P.banded_idf(lim.select("doc", "term").union(claim), "doc", "term", n, 3, MOST_SHARE))
+    idf = P.banded_idf(lim.select("doc", "term").union(claim), "doc", "term", n, 3, MOST_SHARE)
     used = claim.join(rows.where("year <= 2025").select("doc", "technique"), "doc")
     return texts, P.profiles(lim, "field", "doc", "term", idf), P.profiles(used, "technique", "doc", "term", idf)
 
 
 def _scored(spark, d):
-    rows, o, f, t = _world(spark, d)
+    base, rows, o, f, t = _world(spark, d)
     e = P.empty_cells(o, f, t, "field", "technique")
     future = rows.where("year = 2026 and field is not null").select("field", "technique").distinct().withColumn("hit", F.lit(True))
     cf = P.overlap_scores(o, "field", "technique")
-    texts, vf, vt = _profiles(spark, d, rows)
+    texts, vf, vt = _profiles(base, rows)
     lim = P.profile_cosine(vf, vt, "field", "technique")
     spread = o.groupBy("technique").agg(F.count("*").alias("n_fields"))
     c = e.join(cf, ["field", "technique"], "left").join(lim, ["field", "technique"], "left").join(future, ["field", "technique"], "left").join(spread, "technique", "left")

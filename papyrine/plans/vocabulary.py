@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from papyrine.functions import text as X
 from papyrine.operators import records as Rec
 from papyrine.operators import vocabulary as V
-from papyrine.session import table
+from papyrine.session import cut, table
 
 
 def _facts(spark, d):
@@ -211,8 +211,10 @@ select l.label, v.label as topic from l join v on l.label <> v.label and length(
 
 def topic_membership(spark, d):
     p, totals = _editions(spark, d)
-    members = _declared(spark, d).unionByName(_titles(spark, d))
-    v = V.discover_topics(_declared(spark, d).join(p, "doc"), "doc", "label", "edition", totals, 20.0, 3).select("label")
+    # used by three joins each: read and planned once
+    declared = cut(_declared(spark, d))
+    members = declared.unionByName(cut(_titles(spark, d)))
+    v = cut(V.discover_topics(declared.join(p, "doc"), "doc", "label", "edition", totals, 20.0, 3).select("label"))
     labels = members.select("label").distinct()
     m = V.topic_membership(members, v, V.find_parents(labels, v), V.fold_labels(labels, v))
     return m.groupBy("topic").agg(F.count(F.when(F.col("kind") == 1, 1)).alias("direct"), F.count(F.when(F.col("kind") == 2, 1)).alias("via"))
