@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("trends", "records", "vocabulary", "matching", "selection", "vectors", "prediction", "extraction", "tools", "streams", "enrichment", "views")
+MODULES = ("trends", "records", "vocabulary", "matching", "selection", "vectors", "prediction", "extraction", "tools", "streams", "enrichment", "views", "sources")
 
 
 def _all() -> list[tuple[str, Callable, str | None]]:

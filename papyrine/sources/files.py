@@ -57,7 +57,8 @@ def remaining(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def split_listing(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
     """(keep.., title, pdf, url): the entries of an HTML proceedings listing."""
-    part = F.explode(F.slice(F.split(html, '<div class="paper">'), 2, 100_000)).alias("part")
+    parts = F.split(html, '<div class="paper">')
+    part = F.explode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("part")
     e = pages.select(*keep, part)
     title = X.squeeze(F.regexp_replace(F.regexp_extract("part", r'(?s)class="title">(.*?)</', 1), "<[^>]*>", ""))
     return e.select(*keep, title.alias("title"), F.nullif(F.regexp_extract("part", r'href="([^"]+\.pdf)"', 1), F.lit("")).alias("pdf"), F.nullif(F.regexp_extract("part", r'href="([^"]+\.html)"', 1), F.lit("")).alias("url"))
