@@ -123,6 +123,24 @@ def rendering_score(source: Column, out: Column) -> Column:
     )
 
 
+def rendering_details(source: Column, out: Column, script: str = "[가-힣]") -> Column:
+    """struct(numbers, kept, lost, script_share, echo_chars): figures that come back, letters of the wanted script, source repeated.
+
+    kept and lost are distinct figures as written; echo_chars is the longest run of 40 Latin letters or more that begins as a
+    part of the source does.
+    """
+    from papyrine.operators.verification import figures
+
+    a, b = figures(source), figures(out)
+    wanted = F.array_distinct(a)
+    letters = lambda p: F.length(out) - F.length(F.regexp_replace(out, p, ""))
+    runs = F.filter(F.regexp_extract_all(out, F.lit(r"([A-Za-z][A-Za-z ,.:%()\-]{39,})"), F.lit(1)), lambda r: F.contains(source, F.substring(F.trim(r), 1, 40)))
+    return F.struct(
+        F.size(a).alias("numbers"), F.size(F.array_intersect(wanted, b)).alias("kept"), F.array_join(F.array_sort(F.array_except(wanted, b)), " ").alias("lost"),
+        F.round(letters(script) / F.greatest(letters(script) + letters("[A-Za-z]"), F.lit(1)), 2).alias("script_share"), F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0)).alias("echo_chars"),
+    )
+
+
 def set_metrics(found: DataFrame, truth: DataFrame, key: str, item: str) -> DataFrame:
     """(key, found, wanted, hit, recall, precision) of sets of items; a side without items has a null rate."""
     f, t = found.select(key, item).distinct().withColumn("_f", F.lit(1)), truth.select(key, item).distinct().withColumn("_t", F.lit(1))

@@ -425,3 +425,68 @@ def fetched(files: DataFrame, key: str, content: str, magic: bytes = b"%PDF", le
     """Files of binary ``content`` that begin with ``magic`` and have ``least`` bytes or more, one for each key."""
     ok = files.where((F.length(content) >= least) & (F.substring(content, 1, len(magic)) == F.lit(magic)))
     return ok.dropDuplicates([key])
+
+
+def benchmark_places(mentions: DataFrame, registry: DataFrame, name: str = "name") -> DataFrame:
+    """(mentions.., listed, place, host): where a benchmark is to be found, by its folded name or an alias.
+
+    ``registry`` has pos, name, aliases, hf, gh, url, hf_ok, gh_ok; of entries that share a key the first wins.  A checked
+    dataset address comes before a checked repository, before any other address.
+    """
+    r = registry.select("pos", F.col("name").alias("listed"), "hf", "gh", "url", "hf_ok", "gh_ok", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("surface"))
+    r = r.withColumn("_k", X.dataset_key(F.col("surface"))).where("_k <> ''")
+    hf, gh = F.col("hf").isNotNull() & F.coalesce("hf_ok", F.lit(False)), F.col("gh").isNotNull() & F.coalesce("gh_ok", F.lit(False))
+    place = F.when(hf, F.concat(F.lit("https://huggingface.co/datasets/"), "hf")).when(gh, F.concat(F.lit("https://github.com/"), "gh")).otherwise(F.col("url"))
+    host = F.when(hf, "huggingface").when(gh, "github").when(F.col("url").isNotNull(), "web")
+    first = r.groupBy("_k").agg(F.min_by(F.struct("listed", place.alias("place"), host.alias("host")), "pos").alias("r"))
+    return mentions.withColumn("_k", X.dataset_key(F.col(name))).join(first, "_k", "left").select(*mentions.columns, "r.listed", "r.place", "r.host")
+
+
+def concept_labels(concepts: DataFrame, fallback: DataFrame, cluster: str, doc: str, term: str, least: int = 2, top: int = 3) -> DataFrame:
+    """(cluster, rank, term): names frequent inside a cluster and rare outside, ``least`` documents or more.
+
+    A cluster with fewer than two takes labels (cluster, rank, term) of ``fallback`` after its own.
+    """
+    once = concepts.select(cluster, doc, term).distinct()
+    c = once.groupBy(cluster, term).agg(F.count("*").alias("c"))
+    total = c.groupBy(term).agg(F.sum("c").alias("total"))
+    n = concepts.groupBy(cluster).agg(F.count_distinct(doc).alias("n"))
+    s = c.where(F.col("c") >= least).join(total, term).join(n, cluster)
+    score = F.round(F.col("c") / F.col("n") * (F.col("c") / F.greatest(F.col("total") - F.col("c"), F.lit(1))), 12)
+    w = Window.partitionBy(cluster).orderBy(score.desc(), F.col("c").desc(), F.col(term).desc())
+    own = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(cluster, "rank", term)
+    few = n.select(cluster).join(own.groupBy(cluster).agg(F.count("*").alias("k")), cluster, "left").where(F.coalesce("k", F.lit(0)) < 2).select(cluster)
+    more = fallback.join(few, cluster, "left_semi").select(cluster, (F.col("rank") + 100).alias("rank"), term)
+    every = Window.partitionBy(cluster).orderBy("rank")
+    return own.union(more).withColumn("rank", F.row_number().over(every)).where(F.col("rank") <= top)
+
+
+def group_labels(groups: DataFrame, terms: DataFrame, part: str, doc: str, group: str, term: str, top: int = 3) -> DataFrame:
+    """(part, group, labels): terms distinctive of a group inside its selection, none inside another.
+
+    Score (pa + 0.02) / (pb + 0.02) * ln(1 + c) of the shares inside and outside the group; c is 2 at least.
+    """
+    size = groups.groupBy(part, group).agg(F.count_distinct(doc).alias("n"))
+    whole = size.groupBy(part).agg(F.sum("n").alias("all"))
+    t = groups.join(terms.select(doc, term).distinct(), doc)
+    c = t.groupBy(part, group, term).agg(F.count_distinct(doc).alias("c"))
+    total = c.groupBy(part, term).agg(F.sum("c").alias("total"))
+    s = c.where("c >= 2").join(total, [part, term]).join(size, [part, group]).join(whole, part)
+    pa, pb = F.col("c") / F.col("n"), (F.col("total") - F.col("c")) / F.greatest(F.col("all") - F.col("n"), F.lit(1))
+    s = s.withColumn("score", F.round((pa + 0.02) / (pb + 0.02) * F.log1p("c"), 9))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(term).alias("t"))))
+    empty = F.array().cast("array<string>")
+    pick = lambda held, x: F.when((F.size(held) < top) & ~F.exists(held, lambda h: F.contains(h, x["t"]) | F.contains(x["t"], h)), F.concat(held, F.array(x["t"]))).otherwise(held)
+    return s.groupBy(part, group).agg(F.aggregate(order, empty, pick).alias("labels"))
+
+
+def title_grades(answers: DataFrame, papers: DataFrame, answer: str, text: str, paper: str, title: str) -> DataFrame:
+    """(answer, matched, phantom, phantom_rate): marked pieces of an answer that are titles held, and those that only look like one."""
+    from papyrine.operators.extraction import markdown_pieces, titleish
+
+    p = answers.select(answer, F.explode(F.array_distinct(markdown_pieces(F.col(text)))).alias("piece")).withColumn("_k", X.norm(F.col("piece")))
+    known = papers.select(X.norm(F.col(title)).alias("_k"), F.col(paper).alias("_p")).where("_k <> ''").groupBy("_k").agg(F.min("_p").alias("_p"))
+    m = p.join(known, "_k", "left")
+    g = m.groupBy(answer).agg(F.count_distinct("_p").alias("matched"), F.count_distinct(F.when(F.col("_p").isNull() & titleish(F.col("piece")), F.col("_k"))).alias("phantom"))
+    g = answers.select(answer).distinct().join(g, answer, "left").fillna(0, ["matched", "phantom"])
+    return g.select(answer, "matched", "phantom", F.try_divide(F.col("phantom"), F.col("phantom") + F.col("matched")).alias("phantom_rate"))

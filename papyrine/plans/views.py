@@ -479,6 +479,81 @@ def quotes_anywhere(spark, d):
 _N = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 QUOTES_ANYWHERE = f"with {_P}, q as (select event_id as quote_id, ' ' || {_N.format("split_part(abstract, '.', 1)")} || ' ' as q from p where abstract is not null), t as (select doc_id, ' ' || {_N.format('text')} || ' ' as t from documents) select quote_id, min(doc_id) as doc_id from q join t on contains(t, q) where length(q) >= 22 group by 1"
 
+def benchmark_places(spark, d):
+    """Dataset mentions with their place in a registry made of the reference list."""
+    r = table(spark, d, "term_reference").where("kind = 'dataset'").select(
+        F.col("ref_id").alias("pos"), "name", F.array(F.coalesce("acronym", "name")).alias("aliases"), X.slug(F.col("name")).alias("hf"), F.concat(F.lit("lab/"), X.slug(F.col("name"))).alias("gh"),
+        F.when(F.col("ref_id") % 5 != 0, F.concat(F.lit("https://x.example/"), F.col("ref_id").cast("string"))).alias("url"), (F.col("ref_id") % 3 == 0).alias("hf_ok"), (F.col("ref_id") % 2 == 0).alias("gh_ok"),
+    )
+    m = _facts(spark, d).select("event_id", F.explode("facts.datasets.name").alias("name")).where("name is not null")
+    return V.benchmark_places(m, r)
+
+
+BENCHMARK_PLACES = f"""with {_F}, r as (select *, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as s from term_reference where kind = 'dataset'), u as (select ref_id, name, s, unnest([name, coalesce(acronym, name)]) as surface from r),
+k as (select {_DK.format('surface')} as k, min(ref_id) as ref_id from u where {_DK.format('surface')} <> '' group by 1), m as (select event_id, name from (select event_id, unnest(facts.datasets).name as name from f) where name is not null)
+select event_id, m.name, r.name as listed, case when r.ref_id % 3 = 0 then 'https://huggingface.co/datasets/' || s when r.ref_id % 2 = 0 then 'https://github.com/lab/' || s when r.ref_id % 5 <> 0 then 'https://x.example/' || r.ref_id end as place,
+case when r.ref_id % 3 = 0 then 'huggingface' when r.ref_id % 2 = 0 then 'github' when r.ref_id % 5 <> 0 then 'web' end as host from m left join k on k.k = {_DK.format('m.name')} left join r on r.ref_id = k.ref_id"""
+
+
+def concept_labels(spark, d):
+    """Areas labelled by their methods and tasks; areas with few names take frequent subareas."""
+    p = _papers(spark, d).where("area is not null").select(F.col("event_id").alias("doc"), "area", "subarea")
+    names = _facts(spark, d).select(F.col("event_id").alias("doc"), F.explode(F.concat(F.coalesce("facts.methods.name", F.array().cast("array<string>")), F.coalesce("facts.tasks.name", F.array().cast("array<string>")))).alias("term")).where("term is not null")
+    sub = p.where("subarea is not null").groupBy("area", F.col("subarea").alias("term")).agg(F.count("*").alias("c"))
+    from pyspark.sql import Window
+
+    fall = sub.withColumn("rank", F.row_number().over(Window.partitionBy("area").orderBy(F.col("c").desc(), "term"))).where("rank <= 3").select("area", "rank", "term")
+    return V.concept_labels(p.select("area", "doc").join(names.where("doc % 4 <> 1"), "doc"), fall, "area", "doc", "term")
+
+
+CONCEPT_LABELS = f"""with {_P}, {_F}, t0 as (select event_id as doc, unnest(list_concat(coalesce(list_transform(facts.methods, lambda x: x.name), []), coalesce(list_transform(facts.tasks, lambda x: x.name), []))) as term from f),
+t as (select distinct area, doc, term from t0 join (select event_id as doc, area from p where area is not null) using (doc) where term is not null and doc % 4 <> 1), c as (select area, term, count(*) as c from t group by 1, 2), tt as (select term, sum(c) as total from c group by 1), n as (select area, count(distinct doc) as n from t group by 1),
+s as (select area, term, row_number() over (partition by area order by round(c::double / n * (c::double / greatest(total - c, 1)), 12) desc, c desc, term desc) as rank from c join tt using (term) join n using (area) where c >= 2),
+o as (select * from s where rank <= 3), fw as (select area from n where (select count(*) from o where o.area = n.area) < 2),
+fb as (select area, subarea as term, row_number() over (partition by area order by count(*) desc, subarea) + 100 as rank from p where area is not null and subarea is not null group by 1, 2),
+e as (select area, term, rank from o union all select area, term, rank from fb where rank <= 103 and area in (select area from fw))
+select area, rank::int as rank, term from (select area, term, row_number() over (partition by area order by rank) as rank from e) where rank <= 3"""
+
+
+def group_labels(spark, d):
+    """Venues as the groups of each area's selection, labelled by distinctive methods."""
+    g = _papers(spark, d).where("area is not null").select("area", F.col("event_id").alias("doc"), "venue")
+    return V.group_labels(g, _methods(spark, d), "area", "doc", "venue", "name").select("area", "venue", F.array_join("labels", "; ").alias("labels"))
+
+
+GROUP_LABELS = f"""with recursive {_P}, {_F}, {_M}, g as (select area, event_id as doc, venue from p where area is not null), z as (select area, venue, count(distinct doc) as n from g group by 1, 2), al as (select area, sum(n) as a from z group by 1),
+c as (select area, venue, name, count(distinct doc) as c from g join m using (doc) group by 1, 2, 3), tt as (select area, name, sum(c) as total from c group by 1, 2),
+s as (select area, venue, name, round((c::double / n + 0.02) / ((total - c)::double / greatest(a - n, 1) + 0.02) * ln(1 + c), 9) as s from c join tt using (area, name) join z using (area, venue) join al using (area) where c >= 2),
+o as (select *, row_number() over (partition by area, venue order by s desc, name) as i from s),
+pick as (select distinct area, venue, 0::bigint as i, []::varchar[] as used from o union all select o.area, o.venue, o.i, case when len(used) < 3 and len(list_filter(used, lambda u: contains(u, name) or contains(name, u))) = 0 then list_append(used, name) else used end from pick join o on o.area = pick.area and o.venue = pick.venue and o.i = pick.i + 1)
+select area, venue, array_to_string(arg_max(used, i), '; ') as labels from pick group by 1, 2"""
+
+
+def title_grades(spark, d):
+    """Answers that name a paper held and one that only looks like a title: how many of either."""
+    p = _papers(spark, d).where("title is not null").select("event_id", F.regexp_replace(X.squeeze(F.col("title")), '[*"“”]', " ").alias("title"))
+    a = p.select(F.col("event_id").alias("answer"), F.concat(F.lit("See **"), "title", F.lit("** and **An Invented Study About Many Absent Things "), F.col("event_id").cast("string"), F.lit("** and *only small words in italics here*")).alias("text"))
+    return V.title_grades(a, p, "answer", "text", "event_id", "title").withColumn("phantom_rate", F.round("phantom_rate", 6))
+
+
+TITLE_GRADES = f"with {_P} select event_id as answer, 1 as matched, 1 as phantom, 0.5 as phantom_rate from p where title is not null"
+
+
+def rendering_details(spark, d):
+    """Abstracts against a rendering that loses a figure, repeats the opening and adds another script."""
+    from papyrine.operators.enrichment import rendering_details as details
+
+    p = _papers(spark, d).where("abstract is not null")
+    out = F.concat(F.substring("abstract", 1, 60), F.lit(" 한국어 번역"))
+    s = details(F.col("abstract"), out)
+    return p.select("event_id", s["numbers"].alias("numbers"), s["kept"].alias("kept"), s["script_share"].alias("script_share"), s["echo_chars"].alias("echo_chars"))
+
+
+_FG = "list_transform(list_filter(regexp_extract_all(replace({0}, '−', '-'), '-?\\d{{1,3}}(?:,\\d{{3}})+(?:\\.\\d+)?|-?\\d+(?:\\.\\d+)?'), lambda f: not regexp_matches(f, '^(19|20)\\d\\d$')), lambda f: replace(f, ',', ''))".replace("\\\\", "\\")
+RENDERING_DETAILS = f"""with {_P}, o as (select event_id, abstract as a, abstract[1:60] || ' 한국어 번역' as o from p where abstract is not null), v as (select event_id, a, o, {_FG.format('a')} as x, {_FG.format('o')} as y, length(regexp_replace(o, '[^A-Za-z]', '', 'g')) as latin,
+list_filter(regexp_extract_all(o, '[A-Za-z][A-Za-z ,.:%()\\-]{{39,}}'), lambda r: contains(a, trim(r)[1:40])) as runs from o)
+select event_id, len(x)::int as numbers, len(list_distinct(list_filter(x, lambda f: list_contains(y, f))))::int as kept, round(5.0 / (5 + latin), 2) as script_share, coalesce(list_max(list_transform(runs, lambda r: length(r))), 0)::int as echo_chars from v"""
+
 QUERIES = [
     ("filter_method", filter_method, FILTER_METHOD),
     ("filter_one_method", filter_one_method, FILTER_ONE_METHOD),
@@ -508,4 +583,9 @@ QUERIES = [
     ("spending", spending, SPENDING),
     ("grade_summary", grade_summary, GRADE_SUMMARY),
     ("quotes_anywhere", quotes_anywhere, QUOTES_ANYWHERE),
+    ("benchmark_places", benchmark_places, BENCHMARK_PLACES),
+    ("concept_labels", concept_labels, CONCEPT_LABELS),
+    ("group_labels", group_labels, GROUP_LABELS),
+    ("title_grades", title_grades, TITLE_GRADES),
+    ("rendering_details", rendering_details, RENDERING_DETAILS),
 ]

@@ -159,3 +159,26 @@ def test_semantic_extras_need_three_seeds(spark):
 def test_fetched(spark):
     df = spark.createDataFrame([("a", b"%PDF" + b"x" * 9000), ("a", b"%PDF" + b"x" * 9000), ("b", b"<html>" + b"x" * 9000), ("c", b"%PDF")], "id string, content binary")
     assert [r.id for r in V.fetched(df, "id", "content").collect()] == ["a"]
+
+
+def test_tex_is_shown_as_signs(spark):
+    for a, b in {
+        r"ME$^2$ and x_i": "ME² and xᵢ", r"\alpha + \beta_{ij}": "α + βᵢⱼ", r"x^{Q}": "x^(Q)", r"10\% of \$5": "10% of $5", r"see \cite{lee} now": "see now", r"\textbf{\emph{x}} \alphabet": "x",
+        "_really_ so": "really so", "ˆV and ``q''": "V̂ and “q”", r"a \leq b": "a ≤ b",
+    }.items():
+        assert one(spark, E.detex, a) == b, a
+
+
+def test_elided_openings(spark):
+    for a, b in {
+        "To address these open issues, we introduce a framework that maps long inputs.": "a framework that maps long inputs.", "We show that it holds.": "We show that it holds.",
+        "Moreover, this work studies a very long matter of importance to all.": "a very long matter of importance to all.", "However, nothing is cut.": "nothing is cut.", "The model is large.": "The model is large.",
+    }.items():
+        assert one(spark, E.elide, a) == b, a
+
+
+def test_registry_order_and_checks(spark):
+    r = spark.createDataFrame([(1, "GSM8K", ["gsm 8k"], "openai/gsm8k", None, "u", True, None), (2, "gsm8k dataset", None, "x/y", None, None, True, None), (3, "MATH", None, "m/m", "g/m", None, False, True), (4, "Other", None, None, None, None, None, None)], "pos long, name string, aliases array<string>, hf string, gh string, url string, hf_ok boolean, gh_ok boolean")
+    m = spark.createDataFrame([("GSM-8K",), ("the MATH benchmark",), ("Other",), ("absent",), (None,)], "name string")
+    got = {x.name: (x.listed, x.place, x.host) for x in V.benchmark_places(m, r).collect()}
+    assert got == {"GSM-8K": ("GSM8K", "https://huggingface.co/datasets/openai/gsm8k", "huggingface"), "the MATH benchmark": ("MATH", "https://github.com/g/m", "github"), "Other": ("Other", None, None), "absent": (None, None, None), None: (None, None, None)}
