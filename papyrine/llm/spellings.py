@@ -390,7 +390,7 @@ def organisations(names: DataFrame, aliases: DataFrame | None = None) -> DataFra
     p = cut(p.select("name", "kind", "tokens", "acronym", "node").join(strings, "name"))
 
     nodes = cut(p.where("kind <> 'acronym'").groupBy("node").agg(F.first("kind").alias("kind"), F.first("tokens").alias("tokens"), F.count("*").alias("spellings")))
-    near = similar_nodes(nodes)
+    near = cut(similar_nodes(nodes))  # a few links, read four times below
     strength = nodes.select("node", "spellings")
     near = near.join(strength.select(F.col("node").alias("a"), F.col("spellings").alias("sa")), "a").join(strength.select(F.col("node").alias("b"), F.col("spellings").alias("sb")), "b")
     low, high = F.least("sa", "sb"), F.greatest("sa", "sb")
@@ -408,6 +408,7 @@ def organisations(names: DataFrame, aliases: DataFrame | None = None) -> DataFra
         shown = p.where("kind <> 'acronym'").select(F.lower(F.trim("name")).alias("alias"), "node").distinct()
         target = p.select(F.col("name").alias("canonical"), F.col("node").alias("to"))
         edges = edges.union(known.join(shown, "alias").join(target, "canonical").where("node <> to").select("node", "to"))
+    edges = cut(edges)
     edge = F.xxhash64("node", "to").alias("key")
     members = edges.select("node", edge).union(edges.select(F.col("to"), edge))
     roots = components(members, "node", "key").select("node", F.col("component").alias("root"))
@@ -422,7 +423,7 @@ def organisations(names: DataFrame, aliases: DataFrame | None = None) -> DataFra
     most = roots.groupBy("root").agg(F.max("spellings").alias("most"))
     leaders = roots.join(most, "root").where("2 * spellings >= most").select("node", "kind", "tokens")
     guessed = leaders.mapInArrow(_initials_udf, "node long, acronym string").join(roots.select("node", "root"), "node").select("acronym", "root").distinct().withColumn("step", F.lit(3))
-    told = told.union(guessed).groupBy("acronym", "step").agg(F.min("root").alias("root"), F.count_distinct("root").alias("n"))
+    told = cut(told.union(guessed)).groupBy("acronym", "step").agg(F.min("root").alias("root"), F.count_distinct("root").alias("n"))
     first = told.groupBy("acronym").agg(F.min_by(F.struct("root", "n"), "step").alias("m")).where("m.n = 1").select("acronym", F.col("m.root").alias("org"))
     short = p.where("kind = 'acronym'").join(first, "acronym", "left").select("name", "given", F.coalesce("org", "node").alias("org"))
     full = p.where("kind <> 'acronym'").join(roots.select("node", "root"), "node").select("name", "given", F.col("root").alias("org"))
