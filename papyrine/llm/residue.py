@@ -444,7 +444,7 @@ def residue_documents(
         names = papers.select(
             F.col(paper).alias("paper"),
             F.array_distinct(F.split(F.lower(F.concat_ws(" ", F.col(title), F.regexp_replace(F.col(slug), r"[^A-Za-z]+", " ") if slug else F.lit(""))), r"[^\p{L}]+")).alias("terms"),
-        ).where("paper is not null").groupBy("paper").agg(F.first("terms").alias("terms"))
+        ).where("paper is not null").groupBy("paper").agg(F.max("terms").alias("terms"))  # of several deliveries one, always the same
         met = rows.where("paper is not null").select("hash", "paper").join(judged.select("hash", "told"), "hash").distinct()
         near = met.join(names, "paper").groupBy("hash").agg(F.avg(F.arrays_overlap("told", "terms").cast("double")).alias("near"))
         judged = judged.join(near, "hash", "left").withColumn("near", F.coalesce("near", F.lit(0.0)))
