@@ -242,6 +242,9 @@ def _unfilled(line: str) -> bool:
 
 def _latin(line: str) -> bool:
     """Filler Latin: several of its words, and hardly any function word of a language."""
+    low = line.lower()
+    if not any(w in low for w in _ANCHOR):
+        return False
     words = [w.lower() for w in _WORD.findall(line)]
     known = sum(w in _LATIN for w in words)
     return (
@@ -289,6 +292,7 @@ _FURNITURE = frozenset(
     "license licensed licence licensing copyright rights reserved creative commons doi isbn issn arxiv thank thanks acknowledge acknowledgements funded supported grant "
     "published proceedings reprinted preprint lizenz rechte vorbehalten urheberrecht dank gefördert licencia derechos reservados gracias licence droits réservés remercions".split()
 )
+_DIGIT = re.compile(r"\d")
 _CODE = re.compile(r"\b(?=\w*\d)\w+\b")
 _MENU = re.compile(r"\S *[|›»] *\S|^\s*(?:back to top|previous|next|home|contents|menu)\b", re.I)
 _END = re.compile(r"[.!?…:。][\"'”’»)\]]*\s*$")
@@ -297,7 +301,7 @@ _END = re.compile(r"[.!?…:。][\"'”’»)\]]*\s*$")
 def skeleton(sentence: str) -> list[str]:
     """The words without numbers and codes, in small letters."""
     low = sentence.lower()
-    return _WORD.findall(_CODE.sub(" ", low) if any(map(str.isdigit, low)) else low)
+    return _WORD.findall(_CODE.sub(" ", low) if _DIGIT.search(low) else low)
 
 
 def _neutral(sentence: str) -> bool:
