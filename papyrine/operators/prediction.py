@@ -22,9 +22,45 @@ def empty_cells(observed: DataFrame, fields: DataFrame, techniques: DataFrame, f
     return fields.crossJoin(techniques).join(observed.select(field, technique), [field, technique], "left_anti")
 
 
-def overlap_scores(observed: DataFrame, field: str, technique: str) -> DataFrame:
+#: Observed cells, and labels of an axis, up to which similarities are multiplied as matrices at once.
+CELLS_AT_ONCE, LABELS_AT_ONCE = 200_000, 2_000
+
+
+def _overlap_at_once(rows: list, field: str, technique: str, spark) -> DataFrame | None:
+    """:func:`overlap_scores` of few cells by matrix products; None where an axis is long."""
+    import numpy as np
+    import pandas as pd
+
+    fs, ts = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    if max(len(fs), len(ts)) > LABELS_AT_ONCE:
+        return None
+    at_f, at_t = {f: i for i, f in enumerate(fs)}, {t: i for i, t in enumerate(ts)}
+    m = np.zeros((len(fs), len(ts)))
+    m[[at_f[r[0]] for r in rows], [at_t[r[1]] for r in rows]] = 1
+
+    def jaccard(x: np.ndarray) -> np.ndarray:
+        both, size = x @ x.T, x.sum(axis=1)
+        j = both / np.maximum(size[:, None] + size[None, :] - both, 1)
+        np.fill_diagonal(j, 0)
+        return j
+
+    cf = jaccard(m) @ m + m @ jaccard(m.T)
+    i, j = np.nonzero(cf)
+    return spark.createDataFrame(pd.DataFrame({field: [fs[k] for k in i], technique: [ts[k] for k in j], "cf": cf[i, j]}), f"{field} string, {technique} string, cf double")
+
+
+def overlap_scores(observed: DataFrame, field: str, technique: str, at_once: int = CELLS_AT_ONCE) -> DataFrame:
     """(field, technique, cf): for every cell, the Jaccard similarity of its field to the fields that use
-    the technique, plus that of its technique to the techniques of the field."""
+    the technique, plus that of its technique to the techniques of the field.
+
+    Up to ``at_once`` observed cells of text labels are multiplied as matrices; beyond, similarities are joined.
+    """
+    from papyrine.session import bounded_rows
+
+    if at_once and dict(observed.dtypes)[field] == dict(observed.dtypes)[technique] == "string":
+        rows = bounded_rows(observed.select(field, technique).where(F.col(field).isNotNull() & F.col(technique).isNotNull()).distinct(), at_once)
+        if rows and (out := _overlap_at_once(rows, field, technique, observed.sparkSession)) is not None:
+            return out
     o = observed.select(F.col(field).alias("f"), F.col(technique).alias("t"))
 
     def jaccard(a: str, b: str) -> DataFrame:

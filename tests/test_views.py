@@ -182,3 +182,12 @@ def test_registry_order_and_checks(spark):
     m = spark.createDataFrame([("GSM-8K",), ("the MATH benchmark",), ("Other",), ("absent",), (None,)], "name string")
     got = {x.name: (x.listed, x.place, x.host) for x in V.benchmark_places(m, r).collect()}
     assert got == {"GSM-8K": ("GSM8K", "https://huggingface.co/datasets/openai/gsm8k", "huggingface"), "the MATH benchmark": ("MATH", "https://github.com/g/m", "github"), "Other": ("Other", None, None), "absent": (None, None, None), None: (None, None, None)}
+
+
+def test_overlap_both_ways(spark):
+    rng = random.Random(9)
+    rows = list({(f"f{rng.randrange(12)}", f"t{rng.randrange(30)}") for _ in range(150)})
+    df = spark.createDataFrame(rows, "field string, technique string")
+    got = [{(r.field, r.technique): r.cf for r in P.overlap_scores(df, "field", "technique", n).collect()} for n in (10**6, 10, 0)]
+    assert set(got[0]) == set(got[1]) == set(got[2]) and all(abs(got[0][k] - got[1][k]) < 1e-9 for k in got[0])
+    assert P.overlap_scores(df.limit(0), "field", "technique").count() == 0
