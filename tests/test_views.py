@@ -125,7 +125,7 @@ def test_contained_beyond_the_automaton(spark):
         assert written(spark) - before < 60_000  # the pairs found; the words of the texts took more
 
 
-@pytest.mark.parametrize("name", ["title_mentions", "quotes_anywhere"])
+@pytest.mark.parametrize("name", ["title_mentions", "quotes_anywhere", "citation_degrees", "governing_refs"])
 def test_mentions_beyond_the_automaton_as_sql(spark, small, monkeypatch, name):
     """Where needles are too many for the automaton, the query still agrees with its SQL."""
     import functools
