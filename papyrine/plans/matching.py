@@ -8,7 +8,7 @@ from papyrine.functions import text as X
 from papyrine.operators import matching as M
 from papyrine.operators import records as Rec
 from papyrine.operators import verification as Ver
-from papyrine.session import table
+from papyrine.session import cut, table
 
 _P = "p as (select event_id, title, abstract from (select *, row_number() over (partition by event_id order by ingested_at desc, title) as rn from papers) where rn = 1)"
 _NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
@@ -70,6 +70,7 @@ def citation_degrees(spark, d):
     """Paper to paper: a document of one paper that holds the title of another; degrees both ways."""
     docs = table(spark, d, "documents").select("doc_id", F.col("event_id").alias("citing"))
     e = title_mentions(spark, d).join(docs, "doc_id").where("citing is not null and citing <> event_id").select("citing", F.col("event_id").alias("cited")).distinct()
+    e = cut(e)  # read twice; the texts are read once
     a = e.groupBy(F.col("citing").alias("event_id")).agg(F.count("*").alias("cites"))
     b = e.groupBy(F.col("cited").alias("event_id")).agg(F.count("*").alias("cited_by"))
     return a.join(b, "event_id", "full").select("event_id", F.coalesce("cites", F.lit(0)).alias("cites"), F.coalesce("cited_by", F.lit(0)).alias("cited_by"))
