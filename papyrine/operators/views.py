@@ -417,8 +417,7 @@ def quoted_anywhere(quotes: DataFrame, texts: DataFrame, quote: str, quote_id: s
 
     q = quotes.select(quote_id, X.norm(F.col(quote)).alias("_q"))
     t = texts.select(text_id, X.norm(F.col(text)).alias("_t"))
-    found = contained_in(q, t, quote_id, "_q", text_id, "_t", least=least, most_hits=None)
-    return found.groupBy(quote_id).agg(F.min(text_id).alias(text_id))
+    return contained_in(q, t, quote_id, "_q", text_id, "_t", least=least, most_hits=None, first=True).select(quote_id, text_id)
 
 
 def fetched(files: DataFrame, key: str, content: str, magic: bytes = b"%PDF", least: int = 8_000) -> DataFrame:

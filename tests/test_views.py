@@ -125,6 +125,21 @@ def test_contained_beyond_the_automaton(spark):
         assert written(spark) - before < 60_000  # the pairs found; the words of the texts took more
 
 
+def test_first_text_of_equal_quotes(spark):
+    """A thousand equal quotes in a thousand texts take a row for each, not one for each pair."""
+    quote = "the sparse kernel converges quickly in practice"
+    q = spark.createDataFrame([(i, quote) for i in range(1000)] + [(1000, "a quote that stands nowhere at all"), (1001, None)], "quote_id long, quote string")
+    t = spark.createDataFrame([(f"d{i:04}", f"{i} {quote} {i}") for i in range(1, 1001)] + [("d0000", quote + "x")], "doc_id string, text string").repartition(3)
+    for chars in (10**6, 0):
+        before = written(spark)
+        got = M.contained_in(q, t, "quote_id", "quote", "doc_id", "text", least=20, most_hits=None, sent_chars=chars, first=True).collect()
+        assert sorted((r.quote_id, r.doc_id) for r in got) == [(i, "d0001") for i in range(1000)], chars
+        assert written(spark) - before < 300_000  # the pairs took more
+    before = written(spark)
+    assert sorted((r.quote_id, r.doc_id) for r in V.quoted_anywhere(q, t, "quote", "quote_id", "doc_id", "text").collect()) == [(i, "d0001") for i in range(1000)]
+    assert written(spark) - before < 300_000
+
+
 @pytest.mark.parametrize("name", ["title_mentions", "quotes_anywhere", "citation_degrees", "governing_refs"])
 def test_mentions_beyond_the_automaton_as_sql(spark, small, monkeypatch, name):
     """Where needles are too many for the automaton, the query still agrees with its SQL."""
